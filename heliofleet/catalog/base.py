@@ -1,7 +1,7 @@
 """Registration, output form and the shared SQL of the given tables.
 
 Both sides emit only BIGINT, DOUBLE and VARCHAR: dates and times as text, flags as 0/1,
-doubles rounded half up by the same arithmetic.
+doubles rounded by the same arithmetic.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F, types as T
 
 DIGITS = 6
+# Rounds up from .5013 on. Readings are decimals, so means fall on exact halves of the last
+# digit; off the half, the order of a summation cannot decide the result.
+ROUND_UP = 0.4987
 
 
 @dataclass
@@ -36,7 +39,7 @@ def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
             c = c.cast("bigint")
         elif isinstance(kind, (T.FractionalType, T.DecimalType)):
             value = c.cast("double")
-            c = F.when(~F.isnan(value), F.floor(value * F.lit(scale) + F.lit(0.5)).cast("double")
+            c = F.when(~F.isnan(value), F.floor(value * F.lit(scale) + F.lit(ROUND_UP)).cast("double")
                        / F.lit(scale))
         out.append(c.alias(f.name))
     return df.select(*out)
@@ -55,7 +58,7 @@ def shape(sql: str, columns: str, digits: int = DIGITS) -> str:
             "i": f"CAST({name} AS BIGINT)",
             "s": f"CAST({name} AS VARCHAR)",
             "f": (f"CASE WHEN isnan(CAST({name} AS DOUBLE)) OR isinf(CAST({name} AS DOUBLE)) "
-                  f"THEN NULL ELSE floor(CAST({name} AS DOUBLE) * {scale} + 0.5) / {scale} END"),
+                  f"THEN NULL ELSE floor(CAST({name} AS DOUBLE) * {scale} + {ROUND_UP}) / {scale} END"),
         }[kind]
         out.append(f"{text} AS {name}")
     return f"SELECT {', '.join(out)} FROM ({sql}) shaped"

@@ -9,7 +9,7 @@ from ..operators import distribution, merging, metrics, selection, timeline
 from ..schema import ENERGY as COLS
 from ..sources import adapters as A
 from . import ingest
-from .base import (API, DAILY, ENERGY, ENERGY_F, INTERVALS, INTERVALS_WH, MERGED, RAW_DAILY, catalog,
+from .base import (API, DAILY, ENERGY_F, INTERVALS, INTERVALS_WH, MERGED, RAW_DAILY, catalog,
                    with_)
 from .common import daily, merged
 
@@ -266,4 +266,3 @@ def i4(spark, d):
     return merging.distinct_values(ingest.meter(spark, d), "channel")
 
 
-assert ENERGY == COLS

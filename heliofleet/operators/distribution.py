@@ -30,8 +30,8 @@ def histogram(df: DataFrame, value=PRODUCTION, bins=30) -> DataFrame:
     found = counted.groupBy(SITE, "lo", "hi").agg(F.map_from_entries(
         F.collect_list(F.struct("bin", "n"))).alias("m"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    return (found.select(SITE, "lo", "hi", "m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
-                         .cast("bigint").alias("bin"))
+    return (found.select(SITE, "lo", "hi", "m", F.explode(
+                F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
             .select(SITE, "bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"),
                     (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_end"),
                     F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0)).alias("count")))

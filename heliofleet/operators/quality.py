@@ -71,8 +71,9 @@ def iqr_outlier_counts(df: DataFrame, cols=None) -> DataFrame:
     """Outliers per site and column, counted on merged values rather than on raw rows."""
     cols = _present(df, cols)
     bounds = outlier_bounds(df, cols)
-    spread = value_counts(df, cols).withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(8)))
-    fences = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))).cast("bigint"))
+    salt = F.pmod(F.xxhash64("value"), F.lit(8)).cast("int")
+    spread = value_counts(df, cols).withColumn("_salt", salt)
+    fences = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
     out = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
     return (spread.join(fences.drop("n"), [SITE, "column", "_salt"])
             .groupBy(SITE, "column", "p25", "p75", "lower", "upper")
