@@ -18,8 +18,8 @@ CATALOG, query = catalog()
 def reading_stream(spark, d):
     """The event log as a stream of single readings (see ``adapters.readings``)."""
     pin_utc(spark)
-    path = f"{d}/events.parquet"
-    events = live.read_stream(spark, path, spark.read.parquet(path).schema)
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = live.read_stream(spark, d, schema, pattern="events.parquet")
     kwh, kind = F.round(F.col("value") * 100) / F.lit(100000.0), F.col("event_type")
     return events.select(
         F.expr(f"user_id div {A.USERS_PER_SITE}").alias("site_id"),

@@ -58,9 +58,16 @@ def boosted(features, target=PRODUCTION, rounds=100, rate=0.1, depth=3, seed=42)
         checkpointInterval=10)])
 
 
-def fit(pipeline: Pipeline, train: DataFrame):
+def fit(pipeline: Pipeline, train: DataFrame, rows_per_partition=200_000):
+    """Fit on cached rows. Boosting runs thousands of short jobs, so small training sets are
+    merged into few partitions; large ones keep theirs."""
     checkpoint_dir(train.sparkSession)
-    return pipeline.fit(train)
+    cached = train.persist()
+    wanted = max(1, -(-cached.count() // rows_per_partition))
+    try:
+        return pipeline.fit(cached.coalesce(wanted))
+    finally:
+        cached.unpersist()
 
 
 def regression_metrics(predictions: DataFrame, by=(), actual=PRODUCTION, predicted="prediction"):

@@ -15,10 +15,13 @@ from ..session import pin_utc, work_path
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt="parquet",
-                files_per_trigger=None) -> DataFrame:
-    """File stream with zone-less times cast to TIMESTAMP (watermarks need it)."""
+                files_per_trigger=None, pattern=None) -> DataFrame:
+    """Stream of the files of a folder (those matching ``pattern``) with zone-less times cast
+    to TIMESTAMP (watermarks need it)."""
     pin_utc(spark)
     reader = spark.readStream.format(fmt).schema(schema)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     df = reader.load(path)
