@@ -20,7 +20,7 @@ def reading_stream(spark, d):
     pin_utc(spark)
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = live.read_stream(spark, d, schema, pattern="events.parquet")
-    kwh, kind = F.round(F.col("value") * 100) / F.lit(100000.0), F.col("event_type")
+    kwh, kind = F.floor(F.col("value") * 100 + F.lit(0.5)) / F.lit(100000.0), F.col("event_type")
     return events.select(
         F.expr(f"user_id div {A.USERS_PER_SITE}").alias("site_id"),
         F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 900) * 900).alias("ts"),

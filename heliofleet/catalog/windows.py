@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import metrics, windows as W
 from .base import DAILY, ENERGY, ENERGY_F, catalog, with_
 from .common import daily
@@ -27,9 +29,10 @@ SELECT *, {NET}, avg({P}) {over(7)} AS rolling_mean_7d, stddev_samp({P}) {over(7
 def rolling_daily(spark, d):
     """Adapter, gap fill, daily sums, net energy, rolling mean, deviation and median, lag."""
     df = metrics.net_energy(daily(spark, d))
-    columns = {k: c for k, c in W.temporal_rolling_columns(windows=(7,)).items()
-               if k.split("_")[1] in ("mean", "std", "median")}
-    return df.withColumns({**columns, **W.lag_columns(lags=(7,), changes=())})
+    week = W.trailing(7)
+    return df.withColumns({
+        "rolling_mean_7d": F.avg(P).over(week), "rolling_std_7d": F.stddev_samp(P).over(week),
+        "rolling_median_7d": W.rolling_median(P, 7), **W.lag_columns(steps=(7,))})
 
 
 def rolling_sql(cols=ENERGY, stats=("mean", "std"), ns=(7, 14, 30)):

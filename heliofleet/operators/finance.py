@@ -255,11 +255,10 @@ def financial_rolling(df: DataFrame) -> DataFrame:
 def opportunity(df: DataFrame) -> DataFrame:
     """Value of the distance to the site's 95th percentile day, absolute and against savings."""
     best = F.percentile(PRODUCTION, F.lit(0.95)).over(Window.partitionBy(SITE))
-    missed = (best - F.col(PRODUCTION)) * F.col("purchase_rate")
-    return df.withColumns({
-        "daily_financial_opportunity": missed,
-        "opportunity_ratio": ratio(missed, F.coalesce("daily_total_savings", F.lit(1.0))
-                                   + F.lit(0.01))})
+    df = df.withColumn("daily_financial_opportunity",
+                       (best - F.col(PRODUCTION)) * F.col("purchase_rate"))
+    return df.withColumn("opportunity_ratio", ratio(
+        "daily_financial_opportunity", F.coalesce("daily_total_savings", F.lit(1.0)) + F.lit(0.01)))
 
 
 def _economic_columns():

@@ -86,14 +86,16 @@ def theoretical_features(df: DataFrame) -> DataFrame:
     summer, winter = (solar.daylight_hours("latitude", F.dayofyear(F.lit(d).cast("date")))
                       for d in (SUMMER_DAY, WINTER_DAY))
     w = Window.partitionBy(SITE)
-    sun = F.avg("theoretical_irradiance").over(w)
+    df = df.withColumns({"_sun": F.avg("theoretical_irradiance").over(w),
+                         "_mean": F.avg(PRODUCTION).over(w)})
+    sun = F.col("_sun")
     wave = F.cos(F.lit(2 * 3.141592653589793) * (F.dayofyear(DAY) - F.lit(172)) / F.lit(365.25))
     return df.withColumns({
         "theoretical_seasonal_factor": F.lit(1.0) + F.col("seasonal_variation") * wave,
         "daylight_hours_normalized": ratio(F.col("theoretical_daylight_hours") - winter,
                                            summer - winter + F.lit(0.1)),
-        "location_capacity_factor": F.when(sun > 0, F.avg(PRODUCTION).over(w) / sun)
-        .otherwise(F.lit(0.15))}).drop("seasonal_variation", "atmospheric_transmission")
+        "location_capacity_factor": F.when(sun > 0, F.col("_mean") / sun)
+        .otherwise(F.lit(0.15))}).drop("seasonal_variation", "atmospheric_transmission", "_sun", "_mean")
 
 
 def geometry_calendar(sites: DataFrame, year: int) -> DataFrame:

@@ -115,15 +115,15 @@ ISSUES = ("negative_production", "excess_export")
 WARNINGS = ("energy_balance",)
 
 
+def _level(rule):
+    return "issue" if rule in ISSUES else "warning" if rule in WARNINGS else "note"
+
+
 def integrity(df: DataFrame) -> DataFrame:
     """One row per site and rule with the number of records that break it."""
     rules = _rule_counts(df)
     counted = df.groupBy(SITE).agg(*[c.alias(r) for r, c in rules.items()])
-
-    def level(rule):
-        return "issue" if rule in ISSUES else "warning" if rule in WARNINGS else "note"
-
-    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(level(r)).alias("level"),
+    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(_level(r)).alias("level"),
                               F.col(r).cast("bigint").alias("records")) for r in rules])
     out = counted.select(SITE, F.inline(rows))
     outliers = iqr_outlier_counts(df).select(
@@ -136,17 +136,30 @@ def integrity(df: DataFrame) -> DataFrame:
 
 
 def quality_score(df: DataFrame, cols=None) -> DataFrame:
-    """100 - missing % / 2 - 10 per kind of issue - 2 per kind of warning, in 0..100."""
+    """100 - missing % / 2 - 10 per kind of issue - 2 per kind of warning, in 0..100.
+
+    Cells and row rules come from one pass; only the outlier kinds need the value counts.
+    """
     cols = _present(df, cols)
-    whole = completeness(df, cols).where(F.col("column") == "*").select(
-        SITE, F.col("cells"), F.col("missing"), "completeness_pct")
-    hit = F.col("records") > 0
-    rules = integrity(df).groupBy(SITE).agg(
-        F.count_if(hit & (F.col("level") == "issue")).alias("issues"),
-        F.count_if(hit & (F.col("level") == "warning")).alias("warnings"))
+    rules = {r: c for r, c in _rule_counts(df).items() if r in ISSUES + WARNINGS}
+    whole = df.groupBy(SITE).agg(
+        (F.count(F.lit(1)) * len(cols)).alias("cells"),
+        sum((F.count(c) for c in cols), F.lit(0)).alias("present"),
+        *[c.alias(r) for r, c in rules.items()])
+    odd = iqr_outlier_counts(df, cols).groupBy(SITE).agg(
+        F.count_if(F.col("outliers") > 0).alias("odd_columns"))
+
+    def kinds(names):
+        return sum(((F.col(r) > 0).cast("bigint") for r in names), F.lit(0))
+
+    out = whole.join(odd, SITE, "left").select(
+        SITE, "cells", (F.col("cells") - F.col("present")).alias("missing"),
+        (ratio("present", "cells") * F.lit(100.0)).alias("completeness_pct"),
+        kinds(ISSUES).alias("issues"),
+        (kinds(WARNINGS) + F.coalesce("odd_columns", F.lit(0))).alias("warnings"))
     score = (F.lit(100.0) - ratio("missing", "cells") * F.lit(100.0) * F.lit(0.5)
              - F.col("issues") * F.lit(10.0) - F.col("warnings") * F.lit(2.0))
-    return (whole.join(rules, SITE).withColumn("quality_score", clip(score, 0, 100))
+    return (out.withColumn("quality_score", clip(score, 0, 100))
             .withColumn("assessment", descending_band("quality_score", SCORE_LIMITS, SCORE_BANDS))
             .drop("cells"))
 

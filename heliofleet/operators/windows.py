@@ -3,6 +3,9 @@
 All columns of one call are built on the same ``partitionBy(site_id).orderBy(day)``, so
 Spark plans one exchange and one sort for them. Frames count rows, which are days once
 gaps are filled. A site has one row per day here, so a partition is bounded by the calendar.
+
+A window expression used twice inside one column is evaluated twice, so columns built from
+several rolling values come in two steps: the rolling values first, arithmetic on them next.
 """
 
 from __future__ import annotations
@@ -24,12 +27,9 @@ def trailing(n: int):
 
 
 def rolling_median(c, n: int) -> Column:
-    """Median of the last ``n`` rows: the middle of the sorted frame (n values at most)."""
-    values = F.array_sort(F.collect_list(c).over(trailing(n)))
-    size = F.size(values)
-    upper = F.try_element_at(values, F.floor(size / 2).cast("int") + 1)
-    lower = F.try_element_at(values, F.greatest(F.lit(1), F.ceil(size / 2).cast("int")))
-    return (lower + upper) / F.lit(2.0)
+    """Median of the last ``n`` rows. ``percentile`` is the one median that accepts an ordered
+    frame; its cost grows with ``n``, which is 30 at most here."""
+    return F.percentile(c, F.lit(0.5)).over(trailing(n))
 
 
 def rolling_stats(df: DataFrame, cols=ENERGY, windows=(7, 14, 30), stats=("mean", "std")):
@@ -39,7 +39,9 @@ def rolling_stats(df: DataFrame, cols=ENERGY, windows=(7, 14, 30), stats=("mean"
         for c in cols for n in windows for s in stats})
 
 
-def temporal_rolling_columns(target=PRODUCTION, windows=(7, 14, 30)) -> dict[str, Column]:
+def temporal_rolling(df: DataFrame, target=PRODUCTION, windows=(7, 14, 30), extra=None):
+    """Mean, deviation, median, minimum, maximum and range; ``extra`` columns are added in the
+    same projection."""
     out = {}
     for n in windows:
         over = trailing(n)
@@ -48,12 +50,9 @@ def temporal_rolling_columns(target=PRODUCTION, windows=(7, 14, 30)) -> dict[str
         out[f"rolling_median_{n}d"] = rolling_median(target, n)
         out[f"rolling_min_{n}d"] = F.min(target).over(over)
         out[f"rolling_max_{n}d"] = F.max(target).over(over)
-        out[f"rolling_range_{n}d"] = F.max(target).over(over) - F.min(target).over(over)
-    return out
-
-
-def temporal_rolling(df: DataFrame, target=PRODUCTION, windows=(7, 14, 30)) -> DataFrame:
-    return df.withColumns(temporal_rolling_columns(target, windows))
+    return df.withColumns({**(extra or {}), **out}).withColumns({
+        f"rolling_range_{n}d": F.col(f"rolling_max_{n}d") - F.col(f"rolling_min_{n}d")
+        for n in windows})
 
 
 def strict(agg, c, n: int) -> Column:
@@ -81,19 +80,24 @@ def rolling_centered(df: DataFrame, target=PRODUCTION, windows=(7, 30)) -> DataF
     return df.withColumns({f"centered_mean_{n}d": centered(target, n) for n in windows})
 
 
-def lag_columns(target=PRODUCTION, lags=(1, 2, 3, 7, 14), changes=(1, 7)) -> dict[str, Column]:
-    out = {f"{target}_lag_{k}d": F.lag(target, k).over(by_day()) for k in lags}
+def lag_columns(target=PRODUCTION, steps=(1, 2, 3, 7, 14)) -> dict[str, Column]:
+    return {f"{target}_lag_{k}d": F.lag(target, k).over(by_day()) for k in steps}
+
+
+def change_columns(target=PRODUCTION, changes=(1, 7)) -> dict[str, Column]:
+    """Change and % change from lag columns that exist already."""
+    out = {}
     for k in changes:
-        if k in lags:
-            before = F.lag(target, k).over(by_day())
-            delta = F.col(target) - before
-            out[f"change_from_{k}d_ago"] = delta
-            out[f"pct_change_from_{k}d_ago"] = ratio(delta, before + F.lit(0.01)) * F.lit(100.0)
+        before = F.col(f"{target}_lag_{k}d")
+        delta = F.col(target) - before
+        out[f"change_from_{k}d_ago"] = delta
+        out[f"pct_change_from_{k}d_ago"] = ratio(delta, before + F.lit(0.01)) * F.lit(100.0)
     return out
 
 
 def lags(df: DataFrame, target=PRODUCTION, steps=(1, 2, 3, 7, 14), changes=(1, 7)) -> DataFrame:
-    return df.withColumns(lag_columns(target, steps, changes))
+    df = df.withColumns(lag_columns(target, steps))
+    return df.withColumns(change_columns(target, [k for k in changes if k in steps]))
 
 
 def volatility_trend(df: DataFrame, target=PRODUCTION) -> DataFrame:
@@ -102,20 +106,22 @@ def volatility_trend(df: DataFrame, target=PRODUCTION) -> DataFrame:
     named = {n: f"rolling_mean_{n}d" for n in (7, 30)}
     missing = {c: F.avg(target).over(trailing(n)) for n, c in named.items() if c not in df.columns}
     df = df.withColumns({**missing, "production_volatility": F.stddev_samp(target).over(trailing(7))})
+    df = df.withColumns({f"_before_{n}": F.lag(c, n).over(by_day()) for n, c in named.items()})
     out = {"relative_performance": ratio(F.col(target), F.col(named[30]) + F.lit(0.01))}
     for n, c in named.items():
-        before = F.lag(c, n).over(by_day())
+        before = F.col(f"_before_{n}")
         out[f"trend_{n}d"] = ratio(F.col(c) - before, before + F.lit(0.01))
-    return df.withColumns(out)
+    return df.withColumns(out).drop(*[f"_before_{n}" for n in named])
 
 
 def efficiency_metrics(df: DataFrame, target=PRODUCTION, n: int = 30) -> DataFrame:
     """Performance against the rolling mean, short volatility and its coefficient."""
-    mean = F.avg(target).over(trailing(n))
-    deviation = F.stddev_samp(target).over(trailing(min(7, n)))
+    df = df.withColumns({
+        "_mean": F.avg(target).over(trailing(n)),
+        "efficiency_volatility": F.stddev_samp(target).over(trailing(min(7, n)))})
     return df.withColumns({
-        "efficiency_relative_performance": ratio_or(F.col(target), mean, 1.0),
-        "efficiency_volatility": deviation, "efficiency_cv": ratio_or(deviation, mean, 0.0)})
+        "efficiency_relative_performance": ratio_or(target, "_mean", 1.0),
+        "efficiency_cv": ratio_or("efficiency_volatility", "_mean", 0.0)}).drop("_mean")
 
 
 def seasonal_ratio(df: DataFrame, target=PRODUCTION) -> DataFrame:

@@ -137,13 +137,15 @@ def robust_anomalies(daily: DataFrame, value=PRODUCTION, n=7, k=1.5) -> DataFram
     df = seasonal_ratio(daily, value)
     df = df.withColumn("deviation", F.col(value) - rolling_median(value, n))
     site = Window.partitionBy(SITE)
+    watched = {"far_from_median": "deviation", "off_season": "seasonal_ratio"}
+    quartiles = F.array(F.lit(0.25), F.lit(0.75))
+    df = df.withColumns({f"_{c}": F.percentile(c, quartiles).over(site) for c in watched.values()})
 
     def outside(c):
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).over(site)
-        spread = (q[1] - q[0]) * F.lit(k)
-        return F.coalesce((F.col(c) < q[0] - spread) | (F.col(c) > q[1] + spread), F.lit(False))
-
-    return df.withColumns({
-        "far_from_median": outside("deviation").cast("int"),
-        "off_season": outside("seasonal_ratio").cast("int")}).withColumn(
-        "is_anomaly", F.greatest("far_from_median", "off_season"))
+        low, high = F.col(f"_{c}")[0], F.col(f"_{c}")[1]
+        spread = (high - low) * F.lit(k)
+        return F.coalesce((F.col(c) < low - spread) | (F.col(c) > high + spread), F.lit(False))
+
+    flags = {name: outside(c).cast("int") for name, c in watched.items()}
+    return df.withColumns(flags).withColumn("is_anomaly", F.greatest(*watched)).drop(
+        *[f"_{c}" for c in watched.values()])

@@ -53,14 +53,15 @@ def temporal_features(daily: DataFrame, sets=TEMPORAL_SETS, target=PRODUCTION) -
         columns.update(cal.cyclical_columns(DAY))
     if "time" in sets:
         columns.update(cal.solstice_columns(DAY))
-    if "rolling" in sets:
-        columns.update(windows.temporal_rolling_columns(target))
     if "lag" in sets:
         columns.update(windows.lag_columns(target))
-    df = daily.withColumns(columns)
     if "rolling" in sets:
-        return windows.volatility_trend(df, target)
-    return df.withColumn("production_volatility", F.stddev_samp(target).over(windows.trailing(7)))
+        df = windows.temporal_rolling(daily, target, extra=columns)
+        df = windows.volatility_trend(df, target)
+    else:
+        columns["production_volatility"] = F.stddev_samp(target).over(windows.trailing(7))
+        df = daily.withColumns(columns)
+    return df.withColumns(windows.change_columns(target)) if "lag" in sets else df
 
 
 def weather_columns(df: DataFrame) -> DataFrame:

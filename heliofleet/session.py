@@ -22,6 +22,8 @@ def build_session(app: str = "heliofleet", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # rolling windows are heavy on little data: do not merge them to a few tasks
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
     }

@@ -25,12 +25,17 @@ def _site(key: str, size: int):
     return F.expr(f"{key} div {size}").alias(SITE)
 
 
+def _nearest(c):
+    """Nearest whole number, without the decimal arithmetic of ``round``."""
+    return F.floor(c + F.lit(0.5))
+
+
 def daily_raw(spark, sf_dir) -> DataFrame:
     """Site-days with shipments; days without one are absent (gaps)."""
     df = table(spark, sf_dir, "lineitem").select(
         _site("l_suppkey", SUPPLIERS_PER_SITE), F.to_date("l_shipdate").alias(DAY),
         F.col("l_quantity").alias("q"),
-        (F.col("l_quantity") * F.round(F.col("l_discount") * 100) / 32).alias("x"),
+        (F.col("l_quantity") * _nearest(F.col("l_discount") * 100) / 32).alias("x"),
         (F.floor(F.col("l_extendedprice") / 125) / F.lit(8.0)).alias("c"))
     out = df.groupBy(SITE, DAY).agg(F.sum("q").alias(PRODUCTION), F.sum("c").alias(CONSUMPTION),
                                     F.sum("x").alias(EXPORT))
@@ -58,7 +63,7 @@ def _slot():
 
 def intervals_wh(spark, sf_dir) -> DataFrame:
     """Quarter-hour readings in Wh; a channel without an event stays NULL."""
-    cents = F.round(F.col("value") * 100).cast("bigint")
+    cents = _nearest(F.col("value") * 100)
     events = table(spark, sf_dir, "events").select(
         _site("user_id", USERS_PER_SITE), _slot(), "event_type", cents.alias("v"))
     wh = [(F.sum(F.when(F.col("event_type") == kind, F.col("v"))) / F.lit(100.0))
@@ -76,7 +81,7 @@ def intervals(spark, sf_dir) -> DataFrame:
 def readings(spark, sf_dir) -> DataFrame:
     """Single readings before any grouping: one row per production or consumption event,
     resends included (several rows may share a quarter hour)."""
-    kwh = F.round(F.col("value") * 100) / F.lit(100000.0)
+    kwh = _nearest(F.col("value") * 100) / F.lit(100000.0)
     kind = F.col("event_type")
     return table(spark, sf_dir, "events").select(
         _site("user_id", USERS_PER_SITE), _slot(),
