@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 DIGITS = 6
 # Rounds up from .5013 on. Readings are decimals, so means fall on exact halves of the last
@@ -25,24 +25,26 @@ class Query:
 
 def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Bring a result into the output form."""
-    scale = float(10 ** digits)
+    scale = f"{10 ** digits}D"
     out = []
     for f in df.schema.fields:
-        c, kind = F.col(f"`{f.name}`"), f.dataType
+        c, kind = f"`{f.name}`", f.dataType
         if isinstance(kind, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
+            text = f"date_format({c}, 'yyyy-MM-dd')"
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            text = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')"
         elif isinstance(kind, T.BooleanType):
-            c = c.cast("int").cast("bigint")
+            text = f"CAST(CAST({c} AS INT) AS BIGINT)"
         elif isinstance(kind, T.IntegralType):
-            c = c.cast("bigint")
+            text = f"CAST({c} AS BIGINT)"
         elif isinstance(kind, (T.FractionalType, T.DecimalType)):
-            value = c.cast("double")
-            c = F.when(~F.isnan(value), F.floor(value * F.lit(scale) + F.lit(ROUND_UP)).cast("double")
-                       / F.lit(scale))
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            value = f"CAST({c} AS DOUBLE)"
+            text = (f"CASE WHEN NOT isnan({value}) THEN "
+                    f"CAST(floor({value} * {scale} + {ROUND_UP}D) AS DOUBLE) / {scale} END")
+        else:
+            text = c
+        out.append(f"{text} AS {c}")
+    return df.selectExpr(*out)
 
 
 def shape(sql: str, columns: str, digits: int = DIGITS) -> str:

@@ -25,6 +25,8 @@ def build_session(app: str = "heliofleet", master: str | None = None, **conf) ->
         # rolling windows are heavy on little data: do not merge them to a few tasks
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # one call per expression instead of several while wide feature sets are declared
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
     }
     settings.update(conf)
