@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import DAY, SITE, TS
+from .quantiles import attach_per_site
 
 # Step in seconds and name.
 STEP_NAMES = {900: "15min", 3600: "hourly", 86400: "daily"}
@@ -66,7 +67,7 @@ def time_gaps(df: DataFrame, tolerance=1.5) -> DataFrame:
     """Steps longer than ``tolerance`` times the site's common step."""
     rows = steps(df)
     expected = common_step(rows).select(SITE, F.col("step_seconds").alias("expected_seconds"))
-    return (rows.join(expected, SITE)
+    return (attach_per_site(rows, expected)
             .where(F.col("step_seconds") > F.col("expected_seconds") * F.lit(tolerance))
             .select(SITE, F.col("prev_ts").alias("gap_start"), F.col(TS).alias("gap_end"),
                     F.col("step_seconds").alias("gap_seconds"), "expected_seconds"))

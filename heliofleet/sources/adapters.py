@@ -17,8 +17,8 @@ from .files import read_energy_parquet
 SUPPLIERS_PER_SITE, CUSTOMERS_PER_SITE, USERS_PER_SITE = 10, 150, 15
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_energy_parquet(spark, f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, as_is=()) -> DataFrame:
+    return read_energy_parquet(spark, f"{sf_dir}/{name}.parquet", as_is)
 
 
 def _site(key: str, size: int):
@@ -32,7 +32,7 @@ def _nearest(c):
 
 def daily_raw(spark, sf_dir) -> DataFrame:
     """Site-days with shipments; days without one are absent (gaps)."""
-    df = table(spark, sf_dir, "lineitem").select(
+    df = table(spark, sf_dir, "lineitem", ("l_shipdate",)).select(
         _site("l_suppkey", SUPPLIERS_PER_SITE), F.to_date("l_shipdate").alias(DAY),
         F.col("l_quantity").alias("q"),
         (F.col("l_quantity") * _nearest(F.col("l_discount") * 100) / 32).alias("x"),
@@ -45,7 +45,7 @@ def daily_raw(spark, sf_dir) -> DataFrame:
 
 def api_daily(spark, sf_dir) -> DataFrame:
     """The second, production-only daily feed."""
-    return (table(spark, sf_dir, "orders")
+    return (table(spark, sf_dir, "orders", ("o_orderdate",))
             .select(_site("o_custkey", CUSTOMERS_PER_SITE), F.to_date("o_orderdate").alias(DAY),
                     (F.floor(F.col("o_totalprice") / 1250) / F.lit(8.0)).alias("p"))
             .groupBy(SITE, DAY).agg(F.sum("p").alias(PRODUCTION)))
@@ -90,7 +90,7 @@ def readings(spark, sf_dir) -> DataFrame:
 
 def weather_daily(spark, sf_dir) -> DataFrame:
     """One row per site-day: the order with the lowest key decides all numbers."""
-    first = (table(spark, sf_dir, "orders")
+    first = (table(spark, sf_dir, "orders", ("o_orderdate",))
              .groupBy(_site("o_custkey", CUSTOMERS_PER_SITE), F.to_date("o_orderdate").alias(DAY))
              .agg(F.min(F.struct("o_orderkey", "o_custkey")).alias("o"))
              .select(SITE, DAY, F.col("o.o_orderkey").alias("k"), F.col("o.o_custkey").alias("c")))

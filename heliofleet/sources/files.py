@@ -70,14 +70,20 @@ def wh_to_kwh(df: DataFrame, cols=None) -> DataFrame:
     return df.select(*out)
 
 
-def read_energy_parquet(spark: SparkSession, path) -> DataFrame:
-    """Parquet with zone-less times cast to TIMESTAMP and NaN turned into NULL."""
+def read_energy_parquet(spark: SparkSession, path, as_is=()) -> DataFrame:
+    """Parquet with zone-less times cast to TIMESTAMP and NaN turned into NULL.
+
+    Columns in ``as_is`` stay untouched: a date taken straight from a stored time keeps its
+    filter pushable to the scan.
+    """
     pin_utc(spark)
     df = spark.read.parquet(path)
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.TimestampNTZType):
+        if f.name in as_is:
+            pass
+        elif isinstance(f.dataType, T.TimestampNTZType):
             c = c.cast("timestamp")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(~F.isnan(c), c)

@@ -3,8 +3,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
 from heliofleet.functions.numeric import correlation_strength
 from heliofleet.operators import distribution, merging, metrics, weather as Wx
+from heliofleet.sources import adapters
 
 
 def test_correlation_bands(spark):
@@ -106,6 +108,15 @@ def test_date_filter_reaches_the_scan(spark, tmp_path, daily_of):
     assert "GreaterThanOrEqual(day" in plan and df.count() == 1
 
 
+def test_date_filter_passes_the_adapter_and_columns_are_pruned(spark):
+    df = merging.date_range_filter(adapters.daily_raw(spark, SF), "1996-03-01", "1996-03-31")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(l_shipdate" in pushed and "LessThan" in pushed
+    schema = plan.split("ReadSchema: struct<")[1].split(">")[0]
+    assert schema.count(":") == 5
+
+
 @pytest.mark.parametrize("latest, band", [("2024-05-29", "very recent"), ("2024-05-17", "recent"), ("2024-04-17", "somewhat old"), ("2024-02-02", "old")])
 def test_freshness_bands(daily_of, latest, band):
     assert metrics.freshness(daily_of([(1, latest, 1.0)]), "2024-06-01").first().recency == band
