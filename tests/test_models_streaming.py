@@ -79,12 +79,16 @@ def test_robust_rule_flags_the_outlier(daily_of):
 
 
 def write_batches(spark, root, batches):
+    """One file per batch. File streams read by modification time, so the files are a minute apart."""
     import json
+    import os
     from pathlib import Path
     Path(root).mkdir(parents=True)
     for i, rows in enumerate(batches):
         lines = [json.dumps(dict(zip(("site_id", "ts", "production_kwh", "consumption_kwh", "export_kwh", "import_kwh"), r))) for r in rows]
-        (Path(root) / f"{i}.json").write_text("\n".join(lines))
+        file = Path(root) / f"{i}.json"
+        file.write_text("\n".join(lines))
+        os.utime(file, (1_700_000_000 + 60 * i,) * 2)
 
 
 def test_stream_rollup_equals_batch_on_closed_windows(spark, tmp_path):
