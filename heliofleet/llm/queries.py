@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, language, line_dedup, packing, secrets, topk
+from . import bpe, chat, exact_dedup, language, line_dedup, ngram_join, packing, secrets, substring, topk
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +21,11 @@ def queries():
         "op4_language_id": language.op4_language_id,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
+        "op10_substring_dedup": substring.op10_substring_dedup,
+        "pipeline": pipeline,
     }
 
 
@@ -32,5 +35,6 @@ def oracles():
         "op2_secret_scans": secrets.OP2_SQL,
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
         "op8_chat_formatting": chat.OP8_SQL,
     }
