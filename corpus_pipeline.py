@@ -18,7 +18,7 @@ from heliofleet.llm import language, line_dedup, ngram_join, packing, secrets
 from heliofleet.llm.common import id_key, table, work_folder, written
 
 #: Documents with a lower score for their best language go.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
