@@ -36,8 +36,9 @@ from .components import components
 
 #: Entries of the count table.
 SKETCH_BITS = 18
-#: A document's m goes up by one with each doubling of its estimated candidates beyond COST, to MOST_MATCHES.
-COST, MOST_MATCHES = 64, 8
+#: A document's m starts at MATCHES and goes up by one with each doubling of its estimated
+#: candidates beyond COST, to MOST_MATCHES; it never exceeds the shingles it must share.
+MATCHES, COST, MOST_MATCHES = 8, 64, 16
 #: Distances at which the neighbours of a list meet, round by round.
 ROUNDS = ((1, 1), (2, 4), (5, 16))
 LIST_PART = 500_000
@@ -99,7 +100,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 need = needed(n, percent)
                 p = n - need + 1 if n else 0
                 cost = int(np.maximum(often[order[:p]] - noise, 0).sum())
-                m = max(1, min(1 + (cost // COST).bit_length(), MOST_MATCHES, need))
+                m = max(1, min(MATCHES + (cost // COST).bit_length(), MOST_MATCHES, need))
                 for column, x in zip(rows, (n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), p, m,
                                             s[order[:p + m - 1]].view(np.int64))):
                     column.append(x)
@@ -126,13 +127,17 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc").alias("rep"), "text").mapInArrow(run, "rep long, tokens array<long>")
 
 
-def similar_pairs(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those that are similar; few rows meet the whole sets."""
-    def side(df, name, *columns):
-        return df.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
-    short = pairs.join(side(prefixes, "a", "prefix", "m"), "a").join(side(prefixes, "b", "prefix", "m"), "b").where(
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b), those that are similar.
+
+    ``sets`` (rep, m, prefix, tokens) is bucketed by rep, so the pairs go to the sets. Only pairs
+    that share enough of their prefixes take whole sets along.
+    """
+    def side(name, *columns):
+        return sets.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+    short = pairs.join(side("a", "prefix", "m"), "a").join(side("b", "prefix", "m"), "b").where(
         F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("m_a", "m_b")).select("a", "b")
-    both = short.join(side(sets, "a", "tokens"), "a").join(side(sets, "b", "tokens"), "b").select(
+    both = short.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select(
         "a", "b", F.size("tokens_a").alias("x"), F.size("tokens_b").alias("y"),
         F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common"))
     union = F.col("x") + F.col("y") - F.col("common")
@@ -150,18 +155,28 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         F.min(F.struct("doc", "p", "m", "prefix")).alias("r"))
     reps = written(classes.select("sig", "n", F.col("r.doc").alias("rep"), "r.p", "r.m", "r.prefix"), folder, "classes")
     # two classes with one smallest document (rows that share a doc_id) are one node: the id
-    entries = reps.select("rep", "n", F.explode(F.slice("prefix", F.lit(1), F.col("p"))).alias("token"))
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where(F.col("length") > 1)
+    entries = reps.select("rep", "n", "p", F.posexplode("prefix").alias("at", "token")).select(
+        "rep", "n", "token", (F.col("at") < F.col("p")).alias("one"))
+    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("one").cast("long")).alias("length"))
+    lists = lists.where(F.col("all") > 1).select("token", "length")
     shared = written(entries.join(lists, "token"), folder, "shared")
-    longest = shared.agg(F.max("length")).first()[0] or 0
+    # a similar document has at least percent**2 of n shingles to share, so its m is this at least
+    least = F.greatest(F.lit(1), F.least(F.lit(MATCHES), F.floor(percent * percent * F.col("n") / 10000)))
+    hopeful = shared.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("rep")
+    shared = shared.where(F.col("one") & (F.col("length") > 1)).join(hopeful, "rep", "left_semi").select(
+        "rep", "n", "token", "length")
+    longest = lists.agg(F.max("length")).first()[0] or 0
     postings = written(salted_rank(shared, ["token"], ["n", "rep"], -(-max(longest, 1) // LIST_PART), "at"),
                        folder, "postings")
     involved = postings.select(F.col("rep").alias("doc")).distinct()
-    # rows that share a doc_id have several sets; the one of the class is found by its size and signature
+    # of rows that share a doc_id, one text stands for the id
     bodies = docs.select(id_key().alias("doc"), "text").join(involved, "doc", "left_semi").dropDuplicates(["doc"])
-    sets = written(full_sets(bodies, words), folder, "sets")
-    prefixes = reps.select("rep", "prefix", "m").join(involved.select(F.col("doc").alias("rep")), "rep", "left_semi")
-    prefixes = written(prefixes, folder, "prefixes")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"sets_{folder.rsplit('-', 1)[-1]}"
+    (full_sets(bodies, words).join(reps.groupBy("rep").agg(F.min(F.struct("m", "prefix")).alias("r")), "rep")
+     .select("rep", "r.m", "r.prefix", "tokens").repartition(buckets, "rep").write.bucketBy(buckets, "rep").sortBy("rep")
+     .format("parquet").option("path", f"{folder}/sets").saveAsTable(name))
+    sets = spark.table(name)
     labels = involved.select(F.col("doc").alias("rep"), F.col("doc").alias("comp"))
 
     def sized(a, b):
@@ -171,7 +186,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         """``labels`` after the similar ones of ``pairs`` are linked."""
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
                         folder, f"pairs-{name}")
-        links = similar_pairs(pairs, prefixes, sets, percent)
+        links = similar_pairs(pairs, sets, percent)
         edges = links.join(labels.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(
             labels.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b").select(
             F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -207,6 +222,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
                            F.col("at").alias("j"))
         labels = joined(labels, left.join(right, "token").where(
             (F.col("ca") != F.col("cb")) & sized("x", "y") & (F.abs(F.col("i") - F.col("j")) > reach)).select("a", "b"), "rest")
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay in the shared folder
     found = signed.select("doc", "n", "sig").join(reps.select("sig", "n", "rep"), ["sig", "n"], "left").join(
         labels, "rep", "left")
     null_id = -(1 << 63)
