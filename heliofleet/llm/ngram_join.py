@@ -116,15 +116,18 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """rep, m, prefix and tokens (the whole set) for rows of doc, text, m, prefix."""
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)]
             sizes = np.cumsum([0, *map(len, sets)])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))],
-                names=["rep", "tokens"])
-    return docs.select(F.col("doc").alias("rep"), "text").mapInArrow(run, "rep long, tokens array<long>")
+                [batch.column(0), batch.column(2), batch.column(3),
+                 pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))],
+                names=["rep", "m", "prefix", "tokens"])
+    return docs.select(F.col("doc").alias("rep"), "text", "m", "prefix").mapInArrow(
+        run, "rep long, m int, prefix array<long>, tokens array<long>")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,11 +173,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
                        folder, "postings")
     involved = postings.select(F.col("rep").alias("doc")).distinct()
     # of rows that share a doc_id, one text stands for the id
-    bodies = docs.select(id_key().alias("doc"), "text").join(involved, "doc", "left_semi").dropDuplicates(["doc"])
+    short = reps.groupBy(F.col("rep").alias("doc")).agg(F.min(F.struct("m", "prefix")).alias("r")).join(
+        involved, "doc", "left_semi").select("doc", "r.m", "r.prefix")
+    bodies = docs.select(id_key().alias("doc"), "text").join(short, "doc").dropDuplicates(["doc"])
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"sets_{folder.rsplit('-', 1)[-1]}"
-    (full_sets(bodies, words).join(reps.groupBy("rep").agg(F.min(F.struct("m", "prefix")).alias("r")), "rep")
-     .select("rep", "r.m", "r.prefix", "tokens").repartition(buckets, "rep").write.bucketBy(buckets, "rep").sortBy("rep")
+    (full_sets(bodies, words).repartition(buckets, "rep").write.bucketBy(buckets, "rep").sortBy("rep")
      .format("parquet").option("path", f"{folder}/sets").saveAsTable(name))
     sets = spark.table(name)
     labels = involved.select(F.col("doc").alias("rep"), F.col("doc").alias("comp"))
