@@ -63,7 +63,7 @@ class PairIndexEncoder:
         self.added = {k: np.uint32(v).tobytes() for k, v in added.items()}
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") \
             if added else None
-        self.pieces = Pieces(self.encode_pieces)
+        self.pieces = Pieces(self.encode_pieces, most=300_000)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids (little-endian uint32) of texts that are encoded independently of each other."""
