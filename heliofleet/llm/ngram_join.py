@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     bodies = docs.select(id_key().alias("doc"), "text").join(short, "doc").dropDuplicates(["doc"])
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"sets_{folder.rsplit('-', 1)[-1]}"
-    (full_sets(bodies, words).repartition(buckets, "rep").write.bucketBy(buckets, "rep").sortBy("rep")
+    # the join has dealt the texts by the same key, so every bucket is written by one task
+    (full_sets(bodies, words).write.bucketBy(buckets, "rep").sortBy("rep")
      .format("parquet").option("path", f"{folder}/sets").saveAsTable(name))
     sets = spark.table(name)
     labels = involved.select(F.col("doc").alias("rep"), F.col("doc").alias("comp"))
