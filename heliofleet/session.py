@@ -51,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     private = tempfile.mkdtemp(prefix="heliofleet-")
     spark.sparkContext.setCheckpointDir(private)
     return private

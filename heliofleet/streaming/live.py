@@ -79,13 +79,16 @@ def materialise(stream: DataFrame, name: str) -> DataFrame:
 
 
 class DailyTable:
-    """A daily table kept by ``foreachBatch``: new days are appended, known days are kept.
+    """A daily table kept by ``foreachBatch``.
 
-    Each batch owns the folder ``batch=<id>`` and overwrites only that, so a replayed batch
-    leaves the same rows. ``prefer="fresh"`` lets the newest batch win when reading.
+    ``prefer="sum"`` is for readings: each batch stores its part of every day and reading adds
+    the parts up, so the result doesn't depend on how readings fall into batches. For a feed that is
+    daily already, ``prefer="current"`` keeps known days and ``prefer="fresh"`` lets the newest batch
+    win. Each batch owns the folder ``batch=<id>`` and overwrites only that, so a replayed batch
+    leaves the same rows.
     """
 
-    def __init__(self, spark: SparkSession, path: str, prefer="current"):
+    def __init__(self, spark: SparkSession, path: str, prefer="sum"):
         self.spark, self.path, self.prefer = spark, path, prefer
 
     def _folders(self, below=None):
@@ -114,6 +117,8 @@ class DailyTable:
 
     def read(self) -> DataFrame:
         rows = self.spark.read.option("basePath", self.path).parquet(*self._folders())
+        if self.prefer == "sum":
+            return rows.groupBy(SITE, DAY).agg(F.sum(PRODUCTION).alias(PRODUCTION))
         newest = F.max_by(PRODUCTION, "batch") if self.prefer == "fresh" else F.min_by(
             PRODUCTION, "batch")
         return rows.groupBy(SITE, DAY).agg(newest.alias(PRODUCTION))

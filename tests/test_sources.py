@@ -45,8 +45,6 @@ def test_confidence_levels():
 def test_extra_words_and_suggestions():
     assert C.detect(["rooftop"], extra={"production": ["rooftop"]}) == {"production": "rooftop"}
     assert C.suggest(["production", "pv power", "load"])["production"] == ["production", "pv power"]
-    scored = C.detect_scored(["production"])
-    assert scored.confidence == {"production": 1.0} and scored.warnings
 
 
 @settings(max_examples=50, deadline=None)
