@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.numeric import clip, positive_ratio, ratio
 from ..schema import CONSUMPTION, DAY, EXPORT, IMPORT, PRODUCTION, SITE
 from ..sources.dims import FINANCE_DEFAULTS, NATIONAL_RATE
+from .tariffs import FEED_IN_SHARE
 from .windows import trailing
 
 DEGRADATION, LIFETIME_YEARS, DAYS_PER_YEAR = 0.005, 25, 365.25
@@ -23,6 +24,19 @@ def _require(df, *names):
         raise ValueError(f"missing columns: {missing}")
 
 
+#: What a site without a tariff row pays and gets: the national average.
+NATIONAL = {"residential_rate": NATIONAL_RATE, "feed_in_tariff": NATIONAL_RATE * FEED_IN_SHARE,
+            "annual_cost_per_kwh": NATIONAL_RATE / 100.0,
+            "feed_in_rate_per_kwh": NATIONAL_RATE * FEED_IN_SHARE / 100.0}
+
+
+def _with_rates(df: DataFrame, tariffs: DataFrame, *names) -> DataFrame:
+    """Every row of ``df`` with its site's rates, or the national ones where it has none."""
+    _require(tariffs, *names)
+    joined = df.join(tariffs.select(SITE, *names), SITE, "left")
+    return joined.withColumns({n: F.coalesce(F.col(n), F.lit(NATIONAL[n])) for n in names})
+
+
 def net_system_cost(finance: DataFrame) -> DataFrame:
     """Fill defaults and derive total cost, rebates and the net cost."""
     out = finance.withColumns({
@@ -103,11 +117,12 @@ def roi_metrics(df: DataFrame, savings="total_annual_savings") -> DataFrame:
 
 def _with_costs(df: DataFrame, tariffs: DataFrame, finance: DataFrame) -> DataFrame:
     """Benefits, ROI and capacity factor (percent) next to the annual metrics."""
-    _require(tariffs, "annual_cost_per_kwh", "feed_in_rate_per_kwh")
-    costs = net_system_cost(finance).select(SITE, "system_size_kw", "total_cost", "total_rebates",
-                                            "net_system_cost")
-    rates = tariffs.select(SITE, "annual_cost_per_kwh", "feed_in_rate_per_kwh")
-    df = financial_benefits(df.join(rates, SITE).join(costs, SITE))
+    rated = _with_rates(df, tariffs, "annual_cost_per_kwh", "feed_in_rate_per_kwh")
+    inputs = [c for c in (*FINANCE_DEFAULTS, "total_cost") if c in finance.columns]
+    # defaults are filled after the join, so that a site without a finance row has them too
+    costs = net_system_cost(rated.join(finance.select(SITE, *inputs), SITE, "left"))
+    df = financial_benefits(costs.select(
+        *rated.columns, "system_size_kw", "total_cost", "total_rebates", "net_system_cost"))
     limit = F.col("system_size_kw") * F.lit(HOURS_PER_YEAR)
     return roi_metrics(df).withColumn(
         "capacity_factor", ratio("annual_production_kwh", limit) * F.lit(100.0))
@@ -137,7 +152,7 @@ def period_benefit(daily: DataFrame, tariffs: DataFrame) -> DataFrame:
     totals = daily.groupBy(SITE).agg(
         F.sum(PRODUCTION).alias("_p"), F.sum(CONSUMPTION).alias("_c"), F.sum(EXPORT).alias("_x"),
         F.sum(IMPORT).alias("_i"), F.count(F.lit(1)).alias("days"))
-    df = totals.join(tariffs.select(SITE, "annual_cost_per_kwh", "feed_in_rate_per_kwh"), SITE)
+    df = _with_rates(totals, tariffs, "annual_cost_per_kwh", "feed_in_rate_per_kwh")
     rate = F.col("annual_cost_per_kwh")
     earned = F.col("_x") * F.col("feed_in_rate_per_kwh")
     saved = (F.col("_p") - F.col("_x")) * rate
@@ -213,13 +228,13 @@ def savings_breakdown(sites: DataFrame, years=10, certificates=500.0, other=1000
 
 def financial_daily(df: DataFrame, tariffs: DataFrame) -> DataFrame:
     """Daily export value, import savings, their total and two efficiency ratios."""
-    _require(tariffs, "residential_rate", "feed_in_tariff")
-    rates = tariffs.select(SITE, (F.col("residential_rate") / F.lit(100.0)).alias("purchase_rate"),
-                           (F.col("feed_in_tariff") / F.lit(100.0)).alias("feed_in_rate"))
+    names = {"residential_rate": "purchase_rate", "feed_in_tariff": "feed_in_rate"}
+    rated = _with_rates(df, tariffs, *names)
+    rated = rated.withColumns({n: F.col(n) / F.lit(100.0) for n in names}).withColumnsRenamed(names)
     value = F.col(EXPORT) * F.col("feed_in_rate")
     saved = (F.col(CONSUMPTION) - F.col(IMPORT)) * F.col("purchase_rate")
     small = F.lit(0.01)
-    return df.join(rates, SITE).withColumns({
+    return rated.withColumns({
         "daily_export_value": value, "daily_import_savings": saved,
         "daily_total_savings": value + saved,
         "financial_efficiency": ratio(value + saved, F.col(PRODUCTION) + small),
@@ -228,12 +243,12 @@ def financial_daily(df: DataFrame, tariffs: DataFrame) -> DataFrame:
 
 def daily_net_cost(df: DataFrame, tariffs: DataFrame) -> DataFrame:
     """Export income, import cost, net cost, savings and the self-consumption rate of a day."""
-    rates = tariffs.select(SITE, "annual_cost_per_kwh", "feed_in_rate_per_kwh")
+    rated = _with_rates(df, tariffs, "annual_cost_per_kwh", "feed_in_rate_per_kwh")
     income = F.col(EXPORT) * F.col("feed_in_rate_per_kwh")
     cost = F.col(IMPORT) * F.col("annual_cost_per_kwh")
     savings = (F.col(PRODUCTION) - F.col(EXPORT)) * F.col("annual_cost_per_kwh")
     used = ratio(F.col(CONSUMPTION) - F.col(IMPORT), PRODUCTION)
-    return df.join(rates, SITE).withColumns({
+    return rated.withColumns({
         "export_income": income, "import_cost": cost, "daily_net_cost": cost - income,
         "self_consumption_savings": savings, "total_daily_benefit": income + savings,
         "self_consumption_rate": F.coalesce(used, F.lit(0.0))})

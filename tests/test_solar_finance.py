@@ -145,6 +145,17 @@ def test_missing_rate_columns_raise(year, spark, costs):
         Fi.financial_analysis(year, spark.createDataFrame([(1,)], "site_id BIGINT"), costs)
 
 
+def test_sites_without_tariff_and_finance_rows_stay(year, rates, costs):
+    """They take the national rate and the default costs."""
+    none_of = rates.where("site_id = 2"), costs.where("site_id = 2")
+    row = Fi.financial_analysis(year, *none_of).first()
+    scale = 365.25 / 365
+    assert row.annual_cost_per_kwh == pytest.approx(0.1622) and row.net_system_cost == 17500.0
+    assert row.annual_import_savings == pytest.approx(15.0 * 365 * 0.1622 * scale)
+    assert Fi.period_benefit(year, none_of[0]).first().import_cost == pytest.approx(15.0 * 365 * 0.1622)
+    assert Fi.daily_net_cost(year, none_of[0]).where("daily_net_cost IS NOT NULL").count() == 365
+
+
 def test_projection_finds_the_first_positive_year(spark):
     df = spark.createDataFrame([(1, 1000.0, 400.0), (2, 100000.0, 1.0)], "site_id BIGINT, system_cost DOUBLE, annual_savings DOUBLE")
     rows = {(r.site_id, r.year): r for r in Fi.roi_projection(df).collect()}
