@@ -133,12 +133,16 @@ def train_weather_impact(production: DataFrame, weather: DataFrame, trees=100, d
 
 
 def predict_weather_impact(model, forecast: DataFrame) -> DataFrame:
-    """Predictions for forecast hours, never below 0; absent columns take their default."""
+    """Predictions for forecast hours, never below 0; absent columns take their default.
+
+    Without a model (None: too few rows to train on) there are no predictions.
+    """
     df = forecast.withColumns({"hour": F.hour(TS), "day_of_year": F.dayofyear(TS)})
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns
               else F.lit(MISSING_WEATHER.get(c, 0.0)) for c in IMPACT_COLUMNS}
-    scored = model.transform(df.select(
-        SITE, TS, *[c.alias(n) for n, c in filled.items()]))
+    inputs = df.select(SITE, TS, *[c.alias(n) for n, c in filled.items()])
+    scored = (model.transform(inputs) if model is not None
+              else inputs.withColumn("prediction", F.lit(0.0)).where(F.lit(False)))
     return scored.select(SITE, TS, at_least("prediction", 0).alias("predicted_production"),
                          "temperature", "cloud_cover", "ghi")
 
