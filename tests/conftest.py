@@ -9,9 +9,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from heliofleet.session import build_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[4]", **{
@@ -22,6 +19,11 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def sf_dir():
+    return "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="session")
 def daily_of(spark):
     """Rows (site, 'yyyy-mm-dd', production[, consumption, export, import]) as a daily frame."""

@@ -6,7 +6,6 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from conftest import SF
 from heliofleet.plans import anomalies as An, models as M
 from heliofleet.schema import INTERVAL_SCHEMA
 from heliofleet.session import work_path
@@ -131,12 +130,12 @@ def test_alert_rules(spark, tmp_path):
     assert got == ["excess_export", "excess_export", "negative_production"]
 
 
-def test_entry_and_catalog(spark):
+def test_entry_and_catalog(spark, sf_dir):
     import __spark_entry__ as entry
     df = entry.entry(spark)
     assert df.count() > 0 and "rolling_median_7d" in df.columns
     names, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(names) and len(names) >= 150
     for name in ("c5_source_overlap", "e26_granularity"):
-        kinds = {f.dataType for f in names[name](spark, SF).schema.fields}
+        kinds = {f.dataType for f in names[name](spark, sf_dir).schema.fields}
         assert kinds <= {T.LongType(), T.DoubleType(), T.StringType()}

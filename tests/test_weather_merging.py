@@ -3,7 +3,6 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
 from heliofleet.functions.numeric import correlation_strength
 from heliofleet.operators import distribution, merging, metrics, weather as Wx
 from heliofleet.sources import adapters
@@ -108,8 +107,8 @@ def test_date_filter_reaches_the_scan(spark, tmp_path, daily_of):
     assert "GreaterThanOrEqual(day" in plan and df.count() == 1
 
 
-def test_date_filter_passes_the_adapter_and_columns_are_pruned(spark):
-    df = merging.date_range_filter(adapters.daily_raw(spark, SF), "1996-03-01", "1996-03-31")
+def test_date_filter_passes_the_adapter_and_columns_are_pruned(spark, sf_dir):
+    df = merging.date_range_filter(adapters.daily_raw(spark, sf_dir), "1996-03-01", "1996-03-31")
     plan = df._jdf.queryExecution().executedPlan().toString()
     pushed = plan.split("PushedFilters: [")[1].split("]")[0]
     assert "GreaterThanOrEqual(l_shipdate" in pushed and "LessThan" in pushed
