@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, language, line_dedup, ngram_join, packing, secrets, substring, topk
+from . import bpe, chat, exact_dedup, language, line_dedup, ngram_join, packing, secrets, substring, topk, vector_codes
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ def queries():
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
         "op10_substring_dedup": substring.op10_substring_dedup,
+        "op11_vector_code_compression": vector_codes.op11_vector_code_compression,
         "pipeline": pipeline,
     }
 
@@ -37,4 +38,5 @@ def oracles():
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
         "op8_chat_formatting": chat.OP8_SQL,
+        "op11_vector_code_compression": vector_codes.OP11_SQL,
     }
