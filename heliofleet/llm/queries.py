@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, language, line_dedup, ngram_join, packing, prefix_trie, secrets, substring, topk, vector_codes
+from . import bpe, chat, exact_dedup, language, line_dedup, lm_score, ngram_join, packing, prefix_trie, secrets, substring, topk, vector_codes
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def queries():
         "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
         "op10_substring_dedup": substring.op10_substring_dedup,
         "op11_vector_code_compression": vector_codes.op11_vector_code_compression,
+        "op12_lm_scoring": lm_score.op12_lm_scoring,
         "op13_conversation_prefix_trie": prefix_trie.op13_conversation_prefix_trie,
         "pipeline": pipeline,
     }
