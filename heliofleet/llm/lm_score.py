@@ -52,6 +52,7 @@ SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+SINGLE = np.array([128, 64, 32, 16, 8, 4, 2, 1], np.uint8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -155,8 +156,8 @@ def bigrams(a: np.ndarray, row: np.ndarray):
 
 def counted(x: np.ndarray, weights=None):
     """Distinct values, sorted, and their counts or summed weights."""
-    order = np.argsort(x, kind="stable")
-    x = x[order]
+    order = np.argsort(x) if weights is not None else None
+    x = np.sort(x) if weights is None else x[order]
     first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
     if weights is None:
         return x[first], np.diff(np.append(first, len(x)))
@@ -176,11 +177,15 @@ def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     return ((grams >> U(32)) * U(shards) >> U(32)).astype(np.int64)
 
 
-def places(grams: np.ndarray, level, size, probe: int) -> np.ndarray:
-    """The bit that the given probe of (n-gram, level) falls on, among ``size``."""
+def first_places(grams: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of (n-gram, level) start and how far apart they are."""
     h = mix(grams + np.asarray(level).astype(U) * U(0xD6E8FEB86659FD93))
-    step = mix(h) | U(1)
-    return ((h + U(probe) * step) >> U(32)) * size >> U(32)
+    return h, (h >> U(17)) * U(0x9E3779B97F4A7C15) | U(1)
+
+
+def place(h: np.ndarray, size) -> np.ndarray:
+    """The bit, among ``size`` ones, that a probe falls on."""
+    return (((h >> U(32)) * size) >> U(32)).astype(np.int64)
 
 
 class Filter:
@@ -195,18 +200,26 @@ class Filter:
         self.most = len(thresholds(base))
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
+        """The level of each n-gram; equal ones are probed once."""
+        grams, back = np.unique(grams, return_inverse=True)
         out = np.zeros(len(grams), np.int64)
         shard = shard_of(grams, self.shards)
         size, start = self.sizes[shard], self.start[shard]
         alive = np.flatnonzero(size > 0)
+        grams, size, start = grams[alive], size[alive], start[alive]
         for level in range(1, self.most + 1):
+            h, step = first_places(grams, level)
+            where = np.arange(len(h))
             for probe in range(PROBES):
-                at = places(grams[alive], level, size[alive], probe).astype(np.int64)
-                alive = alive[(self.bits[start[alive] + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8) & 1) > 0]
-            if not len(alive):
+                at = place(h, size[where])
+                hit = np.flatnonzero(self.bits[start[where] + (at >> 3)] & SINGLE[at & 7])
+                where, step = where[hit], step[hit]
+                h = h[hit] + step
+            if not len(where):
                 break
+            alive, grams, size, start = alive[where], grams[where], size[where], start[where]
             out[alive] = level
-        return out
+        return out[back]
 
 
 def filter_block(grams: np.ndarray, counts: np.ndarray, base: float = BASE) -> tuple[bytes, int]:
@@ -218,8 +231,10 @@ def filter_block(grams: np.ndarray, counts: np.ndarray, base: float = BASE) -> t
     inner = np.arange(total) - np.repeat(ends - level, level) + 1
     size = max(64, -(-total * BITS // 64) * 64)
     bits = np.zeros(size, bool)
-    for probe in range(PROBES):
-        bits[places(grams[which], inner, U(size), probe).astype(np.int64)] = True
+    h, step = first_places(grams[which], inner)
+    for _ in range(PROBES):
+        bits[place(h, U(size))] = True
+        h = h + step
     return np.packbits(bits).tobytes(), total
 
 
@@ -232,15 +247,25 @@ class Model:
         order = np.argsort(a)
         self.a, self.b = a[order], head.column("b").to_numpy().view(U)[order]
         self.n = head.column("n_train").to_numpy()[order]
+        # the rows of a bucket, which is the first bits of a hash, start at its entry
+        self.shift = U(64 - max(1, 4 * len(a)).bit_length())
+        self.buckets = np.searchsorted(self.a >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1).astype(U)).astype(np.int32)
         self.room = tokens + 0.5 * (distinct + 1)
 
     def head(self, a: np.ndarray, b: np.ndarray):
         """Exact counts, and which words are in the table."""
-        if not len(self.a):
-            return np.zeros(len(a), np.int64), np.zeros(len(a), bool)
-        at = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
-        there = (self.a[at] == a) & (self.b[at] == b)
-        return np.where(there, self.n[at], 0), there
+        count, there = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+        bucket = (a >> self.shift).astype(np.int64)
+        at, stop = self.buckets[bucket], self.buckets[bucket + 1]
+        left = np.flatnonzero(at < stop)
+        at, stop = at[left], stop[left]
+        while len(left):
+            hit = (self.a[at] == a[left]) & (self.b[at] == b[left])
+            there[left[hit]] = True
+            count[left[hit]] = self.n[at[hit]]
+            more = ~hit & (at + 1 < stop)
+            left, at, stop = left[more], at[more] + 1, stop[more]
+        return count, there
 
     def wanted(self, texts: pa.Array, tokens: Tokens) -> np.ndarray:
         """The distinct n-grams whose levels ``score`` asks for."""
@@ -291,7 +316,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             a, b, row = tokens(batch.column(0))
             train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            order = np.argsort(a, kind="stable")
+            order = np.argsort(a)
             a, b, train = a[order], b[order], train[order]
             # equal hashes a with different b may give several rows; the sums put them right
             first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
@@ -326,6 +351,24 @@ def bloom_shards(docs: DataFrame, shards: int, base: float = BASE) -> DataFrame:
         build, "shard long, bits binary, entries long")
 
 
+def head_cut(words: DataFrame, head: int) -> int:
+    """A count that at most ``head`` words reach, found from the sizes of bounded classes of counts.
+
+    A class is a count down to its first five bits, so there are some hundreds. Words below the cut
+    have fewer than about a ``head``-th of all tokens each.
+    """
+    bits = "greatest(length(bin(n_all)) - 5, 0)"
+    kind = F.expr(f"shiftleft(shiftright(n_all, {bits}), {bits})")
+    sizes = words.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()
+    reached, cut = 0, (1 << 63) - 1
+    for r in sorted(sizes, key=lambda r: -r.kind):
+        reached += r.n
+        if reached > head:
+            break
+        cut = r.kind
+    return cut
+
+
 SCORED = "n_tokens long, known long, base double, score double, others array<struct<a:long,b:long,n:long>>"
 
 
@@ -430,8 +473,8 @@ def lm_scores(docs: DataFrame, held_out, prior: float = PRIOR, head: int = HEAD,
     words = written(word_counts(flagged), folder, "words")
     total = words.agg(F.sum("n_train").alias("tokens"), F.count_if(F.col("n_train") > 0).alias("distinct"),
                       F.sum(F.when((F.col("a") == _signed(END[0])) & (F.col("b") == _signed(END[1])), F.col("n_train"))).alias("texts")).first()
-    # at most `head` rows of 24 bytes
-    top = words.orderBy(F.desc("n_all"), "a", "b").limit(head).select("a", "b", "n_all", "n_train").toArrow()
+    cut = head_cut(words, head)
+    top = words.where(F.col("n_all") >= cut).select("a", "b", "n_train").toArrow()  # at most `head` rows of 24 bytes
     tokens = total.tokens or 0
     shards = max(1, -(-2 * tokens // SHARD_GRAMS))
     model = Model(tokens, total.distinct or 0, total.texts or 0, top, shards, prior, base)
@@ -442,9 +485,8 @@ def lm_scores(docs: DataFrame, held_out, prior: float = PRIOR, head: int = HEAD,
     scored = (scored_by_broadcast(rows, model, blocks, kinds) if size <= max_broadcast
               else scored_by_shards(rows, model, blocks, kinds, folder))
     scored = written(scored, folder, "scored")
-    least = min(top.column("n_all").to_pylist(), default=0) if top.num_rows == head else 0
     count = F.coalesce("n_train", F.lit(0))
-    more = (scored.select("row", F.inline("others")).join(words.where(F.col("n_all") <= least).select("a", "b", "n_train"), ["a", "b"], "left")
+    more = (scored.select("row", F.inline("others")).join(words.where(F.col("n_all") < cut).select("a", "b", "n_train"), ["a", "b"], "left")
             .groupBy("row").agg(F.sum(F.when(count > 0, F.col("n")).otherwise(0)).alias("more_known"),
                                 F.sum(F.col("n") * F.log10((count + 0.5) / F.lit(model.room))).alias("more_base")))
     return scored.drop("others").join(more, "row", "left").select(
