@@ -191,13 +191,12 @@ def place(h: np.ndarray, size) -> np.ndarray:
 class Filter:
     """Bloom filters of (n-gram, level), one for each shard, that ``levels`` probes."""
 
-    def __init__(self, shards: int, blocks: dict[int, bytes], base: float = BASE):
-        self.shards = shards
-        sizes = np.array([len(blocks.get(s, b"")) for s in range(shards)], np.int64)
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, base: float = BASE):
+        """``bits`` holds the bytes of the shards one after the other; ``sizes`` says how many each has."""
+        self.shards = len(sizes)
         self.start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         self.sizes = (sizes * 8).astype(U)
-        self.bits = np.frombuffer(b"".join(blocks.get(s, b"") for s in range(shards)) or b"\0", np.uint8)
-        self.most = len(thresholds(base))
+        self.bits, self.most = bits, len(thresholds(base))
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The level of each n-gram; equal ones are probed once."""
@@ -392,12 +391,18 @@ def score_batch(batch: pa.RecordBatch, model: Model, tokens: Tokens, levels) ->
 def scored_by_broadcast(docs: DataFrame, model: Model, blocks: DataFrame, kinds: str) -> DataFrame:
     """Every task probes the whole filter."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast({r.shard: bytes(r.bits) for r in blocks.select("shard", "bits").toLocalIterator()})
-    told = sc.broadcast(model)
+    sizes = np.zeros(model.shards, np.int64)
+    for r in blocks.select("shard", F.length("bits").alias("n")).collect():
+        sizes[r.shard] = r.n
+    start, bits = np.concatenate(([0], np.cumsum(sizes))), np.zeros(int(sizes.sum()), np.uint8)
+    for r in blocks.select("shard", "bits").toLocalIterator():
+        bits[start[r.shard]:start[r.shard + 1]] = np.frombuffer(r.bits, np.uint8)
+    shared, told = sc.broadcast(bits), sc.broadcast((model, sizes))
+    del bits
 
     def run(batches):
-        own, tokens = told.value, Tokens()
-        probe = Filter(own.shards, shared.value, own.base)
+        (own, sizes), tokens = told.value, Tokens()
+        probe = Filter(sizes, shared.value, own.base)
         for batch in batches:
             for piece in pieces(batch, 3):
                 yield score_batch(piece, own, tokens, probe.levels)
@@ -432,8 +437,8 @@ def scored_by_shards(docs: DataFrame, model: Model, blocks: DataFrame, kinds: st
     def answer(asked: pa.Table, block: pa.Table) -> pa.Table:
         grams = asked.column("gram").to_numpy().view(U)
         # a Filter of one shard, so n-grams are placed by its own size
-        held = {0: block.column("bits")[0].as_py()} if block.num_rows else {}
-        level = Filter(1, held, told.value.base).levels(grams)
+        held = np.frombuffer(block.column("bits")[0].as_py() if block.num_rows else b"", np.uint8)
+        level = Filter(np.array([len(held)]), held, told.value.base).levels(grams)
         hit = np.flatnonzero(level)
         return pa.table({"chunk": asked.column("chunk").take(hit), "gram": asked.column("gram").take(hit), "level": pa.array(level[hit])})
 
