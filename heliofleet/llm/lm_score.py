@@ -43,9 +43,9 @@ HEAD = 1 << 18
 BASE, BITS, PROBES = 1.5, 10, 7
 PRIOR = 100.0
 MAX_BROADCAST = 128 << 20
-#: Occurrences of n-grams for each shard, and bytes hashed or scored at a time.
+#: Occurrences of n-grams for each shard, and bytes scored and hashed at a time.
 SHARD_GRAMS = 1 << 20
-SLICE = 1 << 22
+PIECE, SLICE = 1 << 22, 1 << 18
 
 U = np.uint64
 SPACES = np.zeros(256, bool)
@@ -372,12 +372,12 @@ SCORED = "n_tokens long, known long, base double, score double, others array<str
 
 
 def pieces(batch: pa.RecordBatch, column: int):
-    """Runs of rows with about SLICE bytes of text."""
+    """Runs of rows with about PIECE bytes of text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         done = sizes[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(sizes, done + SLICE, "right")))
+        stop = max(at + 1, int(np.searchsorted(sizes, done + PIECE, "right")))
         yield batch.slice(at, stop - at)
         at = stop
 
