@@ -1,7 +1,4 @@
-"""Streaming twins, run over all files that are there, against their batch SQL.
-
-In append mode a window is withheld until the watermark (latest time minus delay) passes it.
-"""
+"""Streaming twins, run over all files that are there, against their batch SQL."""
 
 from __future__ import annotations
 
@@ -10,6 +7,7 @@ from pyspark.sql import functions as F
 from ..session import pin_utc, work_path
 from ..sources import adapters as A
 from ..streaming import live
+from ..streaming.silence import SilenceWatch
 from .base import ENERGY_F, READINGS, catalog, with_
 
 CATALOG, query = catalog()
@@ -27,26 +25,25 @@ def reading_stream(spark, d):
         *[F.when(kind == k, kwh).alias(f"{n}_kwh") for n, k in A.CHANNELS.items()])
 
 
-MARK = "mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM readings)"
 SUMS = ", ".join(f"coalesce(sum({c}), 0) AS {c}" for c in ("production_kwh", "consumption_kwh", "export_kwh", "import_kwh"))
 
 
 def _rollup(name, period, start, length):
-    @query(name, with_(READINGS, MARK, select=f"""
+    @query(name, with_(READINGS, select=f"""
 SELECT site_id, s AS window_start, s + {length} AS window_end, {SUMS}, count(*) AS readings
-FROM (SELECT *, {start} AS s FROM readings) r WHERE s + {length} <= (SELECT w FROM mark) GROUP BY 1, 2"""),
+FROM (SELECT *, {start} AS s FROM readings) r GROUP BY 1, 2"""),
         f"site_id:i window_start:t window_end:t {ENERGY_F} readings:i")
     def run(spark, d):
-        return live.materialise(live.streaming_rollup(reading_stream(spark, d), period), name)
+        return live.WindowTable(spark, work_path(spark, name), period).run(reading_stream(spark, d))
 
 
 _rollup("l1_streaming_daily", "1 day", "date_trunc('day', ts)", "INTERVAL 1 DAY")
 _rollup("l1_streaming_quarter_hour", "15 minutes", "ts", "INTERVAL 15 MINUTE")
 
 
-@query("l2_streaming_dedup", with_(READINGS, select="SELECT DISTINCT site_id, ts FROM readings"), "site_id:i ts:t")
+@query("l2_streaming_dedup", with_(READINGS, select="SELECT DISTINCT * FROM readings"), f"site_id:i ts:t {ENERGY_F}")
 def l2(spark, d):
-    return live.materialise(live.deduplicate(reading_stream(spark, d)).select("site_id", "ts"), "dedup")
+    return live.materialise(live.deduplicate(reading_stream(spark, d)), "dedup")
 
 
 @query("l3_streaming_upsert", with_(READINGS, select="""
@@ -56,22 +53,26 @@ def l3(spark, d):
     return live.DailyTable(spark, work_path(spark, "live-daily")).run(reading_stream(spark, d))
 
 
-@query("l4_rule_alerts", with_(READINGS, """b AS (SELECT site_id, ts, production_kwh, CASE WHEN export_kwh IS NULL AND production_kwh IS NOT NULL THEN 0.06 ELSE export_kwh END AS export_kwh FROM readings)""", select="""
+@query("l4_rule_alerts", with_(READINGS, f"b AS (SELECT site_id, ts, {SUMS} FROM readings GROUP BY 1, 2)", select="""
 SELECT site_id, ts, production_kwh, export_kwh, 'excess_export' AS alert FROM b WHERE export_kwh > production_kwh
 UNION ALL SELECT site_id, ts, production_kwh, export_kwh, 'negative_production' FROM b WHERE production_kwh < 0"""),
     "site_id:i ts:t production_kwh:f export_kwh:f alert:s")
 def l4(spark, d):
-    # a single reading has one channel; a flat export of 0.06 kWh stands next to production
-    flat = reading_stream(spark, d).withColumn("export_kwh", F.when(
-        F.col("export_kwh").isNull() & F.col("production_kwh").isNotNull(), F.lit(0.06)).otherwise(F.col("export_kwh")))
-    return live.materialise(live.rule_alerts(flat), "alerts")
+    """A reading has one channel, so the rules look at quarter hours, which have all."""
+    slots = live.WindowTable(spark, work_path(spark, "slots"), "15 minutes").run(reading_stream(spark, d))
+    return live.rule_alerts(slots.withColumnRenamed("window_start", "ts"))
 
 
-@query("l4_silence_alerts", with_(READINGS, MARK, """o AS (SELECT site_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1350 SECOND THEN 0 ELSE 1 END AS fresh FROM readings
+@query("l4_silence_alerts", with_(READINGS, """o AS (SELECT site_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1350 SECOND THEN 0 ELSE 1 END AS fresh FROM readings
   WINDOW w AS (PARTITION BY site_id ORDER BY ts)),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY site_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM o)""", select="""
-SELECT site_id, min(ts) AS run_start, max(ts) AS last_seen, count(*) AS readings, 'gap' AS alert FROM g GROUP BY site_id, run
-HAVING max(ts) + INTERVAL 1350 SECOND <= (SELECT w FROM mark)"""),
-    "site_id:i run_start:t last_seen:t readings:i alert:s")
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY site_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM o),
+r AS (SELECT site_id, min(ts) AS run_start, max(ts) AS last_seen, count(*) AS readings FROM g GROUP BY site_id, run)""", select="""
+SELECT *, CAST(epoch(run_start) - epoch(lag(last_seen) OVER (PARTITION BY site_id ORDER BY run_start)) AS BIGINT) AS silent_before_seconds, 'gap' AS alert FROM r"""),
+    "site_id:i run_start:t last_seen:t readings:i silent_before_seconds:i alert:s")
 def l4_silence(spark, d):
-    return live.materialise(live.silence_alerts(reading_stream(spark, d)), "silence")
+    """All runs: a heartbeat after the end of the log finds every site silent."""
+    watch = SilenceWatch(spark, reading_stream(spark, d))
+    watch.run()
+    end = A.readings(spark, d).agg(F.max("ts")).first()[0]
+    watch.beat(F.lit(end) + F.expr("INTERVAL 1 HOUR"))
+    return watch.run()

@@ -6,12 +6,11 @@ allowed delay and not by the history.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import DAY, ENERGY, EXPORT, PRODUCTION, SITE, TS
 from ..session import pin_utc, work_path
+from .batch_log import BatchLog, run_into
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt="parquet",
@@ -39,8 +38,8 @@ def streaming_rollup(readings: DataFrame, period="1 day", delay="10 minutes", co
                       F.col("w.end").alias("window_end"), *cols, "readings")
 
 
-def deduplicate(readings: DataFrame, delay="1 day", keys=(SITE, TS)) -> DataFrame:
-    """Drop resends of a reading that arrive within the delay."""
+def deduplicate(readings: DataFrame, delay="1 day", keys=(SITE, TS, *ENERGY)) -> DataFrame:
+    """Drop resends that arrive within the delay: rows with the same time and the same channels and values."""
     return readings.withWatermark(TS, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -52,15 +51,6 @@ def rule_alerts(readings: DataFrame) -> DataFrame:
     return readings.select(SITE, TS, PRODUCTION, EXPORT, F.explode(rules).alias("alert"))
 
 
-def silence_alerts(readings: DataFrame, step_seconds=900, delay="10 minutes") -> DataFrame:
-    """Runs of readings that ended: no reading within 1.5 steps of the last one."""
-    gap = f"{int(step_seconds * 1.5)} seconds"
-    out = (readings.withWatermark(TS, delay).groupBy(SITE, F.session_window(TS, gap).alias("w"))
-           .agg(F.count(F.lit(1)).alias("readings"), F.max(TS).alias("last_seen")))
-    return out.select(SITE, F.col("w.start").alias("run_start"), "last_seen", "readings",
-                      F.lit("gap").alias("alert"))
-
-
 def run_available(stream: DataFrame, path: str, partition_by=()) -> str:
     """Process what is there, append it to Parquet at ``path`` and stop."""
     writer = (stream.writeStream.format("parquet").outputMode("append")
@@ -78,47 +68,55 @@ def materialise(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def window_schema(cols=ENERGY) -> T.StructType:
+    return T.StructType([T.StructField(SITE, T.LongType()), T.StructField("window_start", T.TimestampType()),
+                         T.StructField("window_end", T.TimestampType()),
+                         *[T.StructField(c, T.DoubleType()) for c in cols], T.StructField("readings", T.LongType())])
+
+
+class WindowTable:
+    """A rollup that is complete at any time, open windows included.
+
+    The aggregation runs in update mode: each batch tells the new state of the windows that it
+    has touched, late rows among them, and the log keeps it as a version, of which the newest wins.
+    Rows later than ``delay`` behind the latest time are dropped by the stream.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, period="1 day", delay="2 days", cols=ENERGY, fanout=4):
+        self.period, self.delay, self.cols = period, delay, cols
+        self.log = BatchLog(spark, path, window_schema(cols), (SITE, "window_start", "window_end"), "window_start", "newest", fanout)
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        run_into(streaming_rollup(stream, self.period, self.delay, self.cols), self.log, mode="update")
+        return self.log.read()
+
+
 class DailyTable:
-    """A daily table kept by ``foreachBatch``.
+    """A daily table kept by ``foreachBatch`` as a log of batches (see ``BatchLog``).
 
     ``prefer="sum"`` is for readings: each batch stores its part of every day and reading adds
     the parts up, so the result doesn't depend on how readings fall into batches. For a feed that is
-    daily already, ``prefer="current"`` keeps known days and ``prefer="fresh"`` lets the newest batch
-    win. Each batch owns the folder ``batch=<id>`` and overwrites only that, so a replayed batch
-    leaves the same rows.
+    daily already, ``prefer="current"`` keeps known days and ``prefer="fresh"`` lets the newest batch win.
     """
 
-    def __init__(self, spark: SparkSession, path: str, prefer="sum"):
-        self.spark, self.path, self.prefer = spark, path, prefer
+    RULE = {"sum": "sum", "current": "oldest", "fresh": "newest"}
 
-    def _folders(self, below=None):
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(fs_path)]
-        ids = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
-        return [os.path.join(self.path, f"batch={i}") for i in ids if below is None or i < below]
+    def __init__(self, spark: SparkSession, path: str, prefer="sum", fanout=4):
+        schema = T.StructType([T.StructField(SITE, T.LongType()), T.StructField(DAY, T.DateType()),
+                               T.StructField(PRODUCTION, T.DoubleType())])
+        self.log = BatchLog(spark, path, schema, (SITE, DAY), DAY, self.RULE[prefer], fanout)
 
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        daily = batch.groupBy(SITE, F.to_date(TS).alias(DAY)).agg(
+    @staticmethod
+    def parts(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(SITE, F.to_date(TS).alias(DAY)).agg(
             F.coalesce(F.sum(PRODUCTION), F.lit(0.0)).alias(PRODUCTION))
-        earlier = self._folders(batch_id)
-        if earlier and self.prefer == "current":
-            known = batch.sparkSession.read.parquet(*earlier).select(SITE, DAY)
-            daily = daily.join(known, [SITE, DAY], "left_anti")
-        daily.write.mode("overwrite").parquet(os.path.join(self.path, f"batch={batch_id}"))
-
-    def run(self, stream: DataFrame):
-        (stream.writeStream.foreachBatch(self.merge).outputMode("append")
-         .option("checkpointLocation", self.path + "-checkpoint").trigger(availableNow=True)
-         .start().awaitTermination())
+
+    def merge(self, batch: DataFrame, batch_id: int) -> None:
+        self.log.commit(self.parts(batch), batch_id)
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        run_into(stream, self.log, self.parts)
         return self.read()
 
-    def read(self) -> DataFrame:
-        rows = self.spark.read.option("basePath", self.path).parquet(*self._folders())
-        if self.prefer == "sum":
-            return rows.groupBy(SITE, DAY).agg(F.sum(PRODUCTION).alias(PRODUCTION))
-        newest = F.max_by(PRODUCTION, "batch") if self.prefer == "fresh" else F.min_by(
-            PRODUCTION, "batch")
-        return rows.groupBy(SITE, DAY).agg(newest.alias(PRODUCTION))
+    def read(self, first_day=None, last_day=None) -> DataFrame:
+        return self.log.read(first_day, last_day)
