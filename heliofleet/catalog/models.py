@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window, functions as F
+
 from ..operators import distribution, merging, windows as W
-from ..plans import anomalies as An, features as Fe, models as M, reports
+from ..plans import anomalies as An, features as Fe, models as M, regression as R, reports, site_models as S, weather_model as Wm
 from ..sources import adapters as A
 from .base import DAILY, ENERGY, ENERGY_F, WX_DAILY, catalog, with_
 from .common import daily
@@ -34,7 +36,7 @@ BASIC_FEATURES = ("day_of_year", "day_of_week", "month", "quarter", "week_of_yea
 
 def leak_safe_split(spark, d):
     rows = Fe.ml_dataset_basic(daily(spark, d), leak_safe=True)
-    return M.share_split(rows.select("site_id", "day", "production_kwh", *BASIC_FEATURES)).persist()
+    return M.share_split(rows.select("site_id", "day", "production_kwh", *BASIC_FEATURES))
 
 
 @query("g2_compare_models")
@@ -61,10 +63,16 @@ def g3(spark, d):
     return M.regression_metrics(scored, ["site_id"])
 
 
+def held_out_hours(spark, d):
+    """Hourly weather with its last fifth per site flagged as the hours to forecast."""
+    return M.share_split(A.weather_hourly(spark, d).withColumn("day", F.col("ts")), 0.2).drop("day")
+
+
 def impact_forecast(spark, d):
-    wx = A.weather_hourly(spark, d)
-    model = M.train_weather_impact(A.intervals(spark, d), wx)
-    return M.predict_weather_impact(model, wx)
+    """The last fifth of each site's hours, from a forest trained on the hours before."""
+    hours = held_out_hours(spark, d)
+    past, ahead = (hours.where(F.col("is_test") == flag).drop("is_test") for flag in (0, 1))
+    return Wm.weather_impact(A.intervals(spark, d), past, ahead)
 
 
 @query("g4_weather_impact")
@@ -77,11 +85,84 @@ def g4_summary(spark, d):
     return reports.forecast_summary(impact_forecast(spark, d))
 
 
+@query("e50_weather_report_with_forecast")
+def e50_forecast(spark, d):
+    hours = merging.merge_weather_hourly(A.intervals(spark, d), A.weather_hourly(spark, d))
+    return reports.weather_report(hours, impact_forecast(spark, d))
+
+
 @query("g7_weather_improvement")
 def g7(spark, d):
-    """Fewer rounds than the library default of 300, each on all rows."""
+    """300 rounds with and without weather, per site, tested on its last 180 days."""
     rows = Fe.weather_forecast_features(daily(spark, d), A.weather_daily(spark, d))
-    return M.compare_with_baseline(rows, Fe.BASELINE_COLUMNS, Fe.WEATHER_FORECAST_COLUMNS, rounds=40)
+    split, model = M.temporal_split(rows), S.Ensemble("boosted", trees=300, depth=6)
+    found = S.site_predictions(split, Fe.BASELINE_COLUMNS, {"baseline": model}).unionByName(
+        S.site_predictions(split, Fe.WEATHER_FORECAST_COLUMNS, {"weather": model}))
+    return S.improvement(found)
+
+
+TWO = """s AS (SELECT site_id, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12,
+  covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, var_pop(y) AS vy FROM t{} WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL GROUP BY 1),
+b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM s),
+fitted AS (SELECT site_id, n, my - b1 * m1 - b2 * m2 AS intercept, b1, b2, (b1 * c1 + b2 * c2) / vy AS r2 FROM b)"""
+
+
+@query("g2_linear_one_feature", with_(DAILY, select="""
+SELECT site_id, regr_count(production_kwh, consumption_kwh) AS n, regr_intercept(production_kwh, consumption_kwh) AS intercept,
+  regr_slope(production_kwh, consumption_kwh) AS slope, regr_r2(production_kwh, consumption_kwh) AS r2 FROM daily GROUP BY 1"""),
+    "site_id:i n:i intercept:f slope:f r2:f")
+def g2_linear(spark, d):
+    found = R.linear_models(daily(spark, d), ["consumption_kwh"])
+    return found.select("site_id", "n", "intercept", found.coefficients[0].alias("slope"), "r2")
+
+
+@query("g2_linear_two_features", with_(DAILY, "t AS (SELECT site_id, production_kwh AS y, consumption_kwh AS x1, export_kwh AS x2 FROM daily)",
+       TWO.format(""), select="SELECT * FROM fitted"), "site_id:i n:i intercept:f b1:f b2:f r2:f")
+def g2_linear_two(spark, d):
+    found = R.linear_models(daily(spark, d), ["consumption_kwh", "export_kwh"])
+    return found.select("site_id", "n", "intercept", found.coefficients[0].alias("b1"), found.coefficients[1].alias("b2"), "r2")
+
+
+@query("g2_linear_forecast", with_(DAILY, """t0 AS (SELECT site_id, production_kwh AS y, lag(production_kwh) OVER w AS x1, lag(production_kwh, 7) OVER w AS x2,
+  row_number() OVER (PARTITION BY site_id ORDER BY day DESC) <= ceil(count(*) OVER (PARTITION BY site_id) * 0.2) AS test FROM daily WINDOW w AS (PARTITION BY site_id ORDER BY day)),
+t AS (SELECT * FROM t0 WHERE NOT test)""", TWO.format(""), """p AS (SELECT site_id, y, intercept + b1 * x1 + b2 * x2 AS prediction FROM t0 JOIN fitted USING (site_id) WHERE test),
+m AS (SELECT site_id, count(*) AS n, avg(abs(y - prediction)) AS mae, avg((y - prediction) * (y - prediction)) AS mse, var_pop(y) AS v
+  FROM p WHERE y IS NOT NULL AND prediction IS NOT NULL GROUP BY 1)""", select="""
+SELECT site_id, n, mae, mse, sqrt(mse) AS rmse, CASE WHEN v > 0 THEN 1 - mse / v END AS r2 FROM m"""), "site_id:i n:i mae:f mse:f rmse:f r2:f")
+def g2_linear_forecast(spark, d):
+    """Yesterday and a week ago, fitted on the first four fifths of each site, tested on the last."""
+    site = Window.partitionBy("site_id").orderBy("day")
+    rows = daily(spark, d).withColumns({"x1": F.lag("production_kwh").over(site), "x2": F.lag("production_kwh", 7).over(site)})
+    split = M.share_split(rows)
+    fitted = R.linear_models(split.where("is_test = 0"), ["x1", "x2"])
+    return M.regression_metrics(R.linear_predictions(split.where("is_test = 1"), fitted, ["x1", "x2"]), ["site_id"])
+
+
+def site_split(spark, d):
+    rows = Fe.ml_dataset_basic(daily(spark, d), leak_safe=True)
+    return M.share_split(rows.select("site_id", "day", "production_kwh", *BASIC_FEATURES))
+
+
+@query("g2_site_models")
+def g2_sites(spark, d):
+    """Linear, forest and boosted models of each site on its last fifth."""
+    split = site_split(spark, d)
+    trees = S.site_predictions(split, BASIC_FEATURES, {"Random Forest": S.Ensemble("forest", 100, 10), "Gradient Boosting": S.Ensemble("boosted", 100, 3)})
+    fitted = R.linear_models(split.where("is_test = 0"), BASIC_FEATURES)
+    linear = R.linear_predictions(split.where("is_test = 1"), fitted, BASIC_FEATURES).withColumn("model", F.lit("Linear Regression"))
+    return S.compare_site_models(trees.unionByName(linear.select(trees.columns)))
+
+
+@query("g3_site_forecaster")
+def g3_sites(spark, d):
+    rows = Fe.forecast_features(daily(spark, d)).select("site_id", "day", "production_kwh", *Fe.FORECAST_COLUMNS)
+    found = S.site_predictions(M.temporal_split(rows), Fe.FORECAST_COLUMNS, {"boosted": S.Ensemble("boosted", 200, 3)})
+    return M.regression_metrics(found, ["site_id"])
+
+
+@query("g5_site_importances")
+def g5_sites(spark, d):
+    return S.site_importances(site_split(spark, d), BASIC_FEATURES, S.Ensemble("forest", 100, 10))
 
 
 def naive(spark, d):
@@ -165,6 +246,27 @@ def g10_summary(spark, d):
     return An.anomaly_summary(scored_days(spark, d))
 
 
+def site_scored_days(spark, d):
+    """Tenth of each site's days, from a forest per site."""
+    df = W.seasonal_ratio(W.rolling_strict(daily(spark, d)))
+    return An.site_anomalies(df.select("site_id", "day", *ANOMALY_FEATURES), ANOMALY_FEATURES, 0.1)
+
+
+@query("g10_site_anomalies")
+def g10_sites(spark, d):
+    return site_scored_days(spark, d).select("site_id", "day", "production_kwh", "anomaly_score", "is_anomaly")
+
+
+@query("g10_site_anomaly_summary")
+def g10_sites_summary(spark, d):
+    return An.anomaly_summary(site_scored_days(spark, d))
+
+
+@query("g10_score_histogram")
+def g10_histogram(spark, d):
+    return distribution.histogram(site_scored_days(spark, d), "anomaly_score", 50)
+
+
 @query("h2_most_anomalous_days")
 def h2(spark, d):
     return An.most_anomalous(scored_days(spark, d)).select("site_id", "day", "production_kwh", "anomaly_score", "rank")

@@ -89,3 +89,10 @@ CORRELATION_LABELS = ("Very Strong", "Strong", "Moderate", "Weak", "Very Weak")
 
 def correlation_strength(r) -> Column:
     return descending_band(F.abs(col(r)), CORRELATION_LIMITS, CORRELATION_LABELS)
+
+
+def correlation(a, b):
+    """Pearson's r over the rows that have both; NULL where either is constant."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    spread = F.var_pop(F.when(b.isNotNull(), a)) * F.var_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(spread))

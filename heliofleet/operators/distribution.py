@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.numeric import correlation_strength
+from ..functions.numeric import correlation, correlation_strength
 from ..schema import DAY, PRODUCTION, SITE
 
 WHISKER = 1.5
@@ -60,12 +60,12 @@ def trend_line(df: DataFrame, x, y=PRODUCTION) -> DataFrame:
                       F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     return pairs.groupBy(SITE).agg(
         F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
-        F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
+        correlation("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
     """Pearson r of each pair of columns per site, highest first within the site."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("r"))
                       for a, b in combinations(cols, 2)])
     out = df.groupBy(SITE).agg(pairs.alias("p")).select(SITE, F.inline("p"))
     place = F.row_number().over(Window.partitionBy(SITE).orderBy(
@@ -75,7 +75,7 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
 
 def correlations_with(df: DataFrame, cols, target=PRODUCTION) -> DataFrame:
     """Pearson r of the target with each column over pairwise complete rows, with its band."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("parameter"), F.corr(target, c).alias("r"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("parameter"), correlation(target, c).alias("r"))
                       for c in cols])
     return (df.groupBy(SITE).agg(pairs.alias("p")).select(SITE, F.inline("p"))
             .where(F.col("r").isNotNull() & ~F.isnan("r"))

@@ -78,30 +78,34 @@ def grow_forest(df: DataFrame, features, trees=100, seed=42, sample=SAMPLE) -> D
     return drawn.groupBy("tree").applyInPandas(one, NODE_SCHEMA)
 
 
+def tree_scores(data: np.ndarray, forest, sample: int) -> np.ndarray:
+    """Negated scores of the paper for rows of ``data``; ``sample`` rows have grown each tree."""
+    total = np.zeros(len(data))
+    for tree in forest:
+        at = np.zeros(len(data), dtype=int)
+        while True:
+            feature = tree[at, 0].astype(int)
+            inner = np.flatnonzero(feature >= 0)
+            if len(inner) == 0:
+                break
+            here = at[inner]
+            left = data[inner, feature[inner]] < tree[here, 1]
+            at[inner] = np.where(left, tree[here, 2], tree[here, 3]).astype(int)
+        total += tree[at, 4]
+    norm = _path_norm(sample)
+    return -np.power(2.0, -total / len(forest) / norm) if norm else np.full(len(data), -1.0)
+
+
 def score_forest(df: DataFrame, nodes: DataFrame, features, sample=SAMPLE) -> DataFrame:
     """Add ``anomaly_score``: lower is more anomalous, as the negated score of the paper."""
     table = nodes.toPandas()  # trees x 511 nodes at most
     forest = [t.sort_values("node")[["feature", "threshold", "yes", "no", "length"]].to_numpy(float)
               for _, t in table.groupby("tree")]
     shared = df.sparkSession.sparkContext.broadcast(forest)
-    norm = _path_norm(sample)
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
-        data = np.column_stack([c.to_numpy(float) for c in columns])
-        total = np.zeros(len(data))
-        for tree in shared.value:
-            at = np.zeros(len(data), dtype=int)
-            while True:
-                feature = tree[at, 0].astype(int)
-                inner = np.flatnonzero(feature >= 0)
-                if len(inner) == 0:
-                    break
-                here = at[inner]
-                left = data[inner, feature[inner]] < tree[here, 1]
-                at[inner] = np.where(left, tree[here, 2], tree[here, 3]).astype(int)
-            total += tree[at, 4]
-        return pd.Series(-np.power(2.0, -total / len(shared.value) / norm))
+        return pd.Series(tree_scores(np.column_stack([c.to_numpy(float) for c in columns]), shared.value, sample))
 
     return df.withColumn("anomaly_score", score(*[F.col(c) for c in features]))
 
@@ -110,11 +114,34 @@ def anomalies(df: DataFrame, features, contamination=0.05, trees=100, seed=42) -
     """Score and flag rows; each site flags its own share of ``contamination``."""
     data = df.dropna(subset=list(features))
     nodes = grow_forest(data, features, trees, seed)
-    scored = score_forest(data, nodes, features)
+    scored = score_forest(data, nodes, features, min(SAMPLE, data.count()))
+    return flag(scored, contamination)
+
+
+def flag(scored: DataFrame, contamination: float) -> DataFrame:
     cut = F.percentile("anomaly_score", F.lit(contamination)).over(Window.partitionBy(SITE))
     return scored.withColumn("is_anomaly", (F.col("anomaly_score") < cut).cast("int"))
 
 
+def site_anomalies(df: DataFrame, features, contamination=0.05, trees=100, seed=42) -> DataFrame:
+    """Like ``anomalies``, with a forest of its own for each site, so that a day is held against its site only.
+
+    A site has one row a day, so its rows fit in a task.
+    """
+    names, data = list(features), df.dropna(subset=list(features))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(DAY, kind="stable").reset_index(drop=True)
+        x = pdf[names].to_numpy(float)
+        size = min(SAMPLE, len(x))
+        limit = int(np.ceil(np.log2(max(2, size))))
+        rng = np.random.default_rng(seed)
+        forest = [np.array(_grow(x[rng.choice(len(x), size, replace=False)], rng, limit), float) for _ in range(trees)]
+        return pdf.assign(anomaly_score=tree_scores(x, forest, size))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema.fields)
+    return flag(data.groupBy(SITE).applyInPandas(one, f"{kinds}, anomaly_score double"), contamination)
+
+
 def anomaly_summary(scored: DataFrame, value=PRODUCTION) -> DataFrame:
     """Rate of anomalies and the mean of anomalous and normal days."""
     bad = F.col("is_anomaly") == 1

@@ -10,16 +10,10 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.numeric import at_least, ratio
-from ..operators.merging import merge_weather_hourly
+from ..functions.numeric import ratio
 from ..schema import DAY, PRODUCTION, SITE, TS
 from ..session import checkpoint_dir
-
-MIN_ROWS = 50
-MISSING_WEATHER = {"pressure": 1013.0, "ghi": 400.0, "dni": 300.0}
-IMPACT_COLUMNS = ("temperature", "humidity", "cloud_cover", "wind_speed", "pressure", "ghi", "dni",
-                  "hour", "day_of_year")
-
+from .regression import complete
 
 def temporal_split(df: DataFrame, last_n=180) -> DataFrame:
     """Flag the last ``last_n`` rows of each site."""
@@ -36,7 +30,7 @@ def share_split(df: DataFrame, share=0.2) -> DataFrame:
 
 
 def _assembler(features, output="features"):
-    return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="skip")
+    return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="keep")
 
 
 def linear(features, target=PRODUCTION):
@@ -58,18 +52,25 @@ def boosted(features, target=PRODUCTION, rounds=100, rate=0.1, depth=3, seed=42)
         checkpointInterval=10)])
 
 
-def fit(pipeline: Pipeline, train: DataFrame, rows_per_partition=200_000):
-    """Fit on cached rows. Boosting runs thousands of short jobs, so small training sets are
-    merged into few partitions; large ones keep theirs."""
+def fit(pipeline: Pipeline, train: DataFrame):
+    """Fit on the complete rows, cached and merged to partitions of the advised size."""
     checkpoint_dir(train.sparkSession)
-    cached = train.persist()
-    wanted = max(1, -(-cached.count() // rows_per_partition))
+    first, last = pipeline.getStages()[0], pipeline.getStages()[-1]
+    rows = train.dropna(subset=[*first.getInputCols(), last.getLabelCol()])
+    cached = rows.hint("rebalance").persist()
     try:
-        return pipeline.fit(cached.coalesce(wanted))
+        return pipeline.fit(cached)
     finally:
         cached.unpersist()
 
 
+def predict(model, df: DataFrame) -> DataFrame:
+    """``df`` with predictions; rows that lack a feature keep their place and have none."""
+    whole = complete(model.stages[0].getInputCols())
+    scored = model.transform(df)
+    return scored.withColumn("prediction", F.when(whole, F.col("prediction")))
+
+
 def regression_metrics(predictions: DataFrame, by=(), actual=PRODUCTION, predicted="prediction"):
     """MAE, MSE, RMSE and R2 from sums, for all rows or per key."""
     y, e = F.col(actual), F.col(actual) - F.col(predicted)
@@ -103,7 +104,7 @@ def compare_models(split: DataFrame, features, target=PRODUCTION, trees=100, rou
     models, frames = {}, []
     for name, pipeline in makers.items():
         models[name] = fit(pipeline, train)
-        scored = regression_metrics(models[name].transform(test), actual=target)
+        scored = regression_metrics(predict(models[name], test), actual=target)
         frames.append(scored.withColumn("model", F.lit(name)))
     out = frames[0].unionByName(frames[1]).unionByName(frames[2])
     # three rows: ranked over one array, not over an unpartitioned window
@@ -117,34 +118,9 @@ def compare_models(split: DataFrame, features, target=PRODUCTION, trees=100, rou
 def train_forecaster(features: DataFrame, columns, target=PRODUCTION, rounds=200, depth=3,
                      last_n=180):
     """Boosted forecaster tested on each site's last rows: ``(model, test predictions)``."""
-    split = temporal_split(features, last_n).persist()
+    split = temporal_split(features, last_n)
     model = fit(boosted(columns, target, rounds, depth=depth), split.where("is_test = 0"))
-    return model, model.transform(split.where("is_test = 1"))
-
-
-def train_weather_impact(production: DataFrame, weather: DataFrame, trees=100, depth=10):
-    """Forest from hourly weather to production, or None under 50 complete rows."""
-    rows = merge_weather_hourly(production, weather)
-    rows = rows.withColumns({"hour": F.hour(TS), "day_of_year": F.dayofyear(TS)})
-    rows = rows.select(PRODUCTION, *IMPACT_COLUMNS).dropna().persist()
-    if len(rows.take(MIN_ROWS)) < MIN_ROWS:
-        return None
-    return fit(forest(IMPACT_COLUMNS, PRODUCTION, trees, depth), rows)
-
-
-def predict_weather_impact(model, forecast: DataFrame) -> DataFrame:
-    """Predictions for forecast hours, never below 0; absent columns take their default.
-
-    Without a model (None: too few rows to train on) there are no predictions.
-    """
-    df = forecast.withColumns({"hour": F.hour(TS), "day_of_year": F.dayofyear(TS)})
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns
-              else F.lit(MISSING_WEATHER.get(c, 0.0)) for c in IMPACT_COLUMNS}
-    inputs = df.select(SITE, TS, *[c.alias(n) for n, c in filled.items()])
-    scored = (model.transform(inputs) if model is not None
-              else inputs.withColumn("prediction", F.lit(0.0)).where(F.lit(False)))
-    return scored.select(SITE, TS, at_least("prediction", 0).alias("predicted_production"),
-                         "temperature", "cloud_cover", "ghi")
+    return model, predict(model, split.where("is_test = 1"))
 
 
 def forecast_daily(hourly: DataFrame) -> DataFrame:
@@ -153,23 +129,6 @@ def forecast_daily(hourly: DataFrame) -> DataFrame:
         F.avg("temperature").alias("temperature"), F.avg("cloud_cover").alias("cloud_cover"))
 
 
-def compare_with_baseline(features: DataFrame, baseline, extended, target=PRODUCTION, rounds=300,
-                          depth=6, last_n=180) -> DataFrame:
-    """Metrics of a model with and without the extra columns and the MAE improvement in %."""
-    split = temporal_split(features, last_n).persist()
-    train, test = split.where("is_test = 0"), split.where("is_test = 1")
-    frames = []
-    for name, columns in (("baseline", baseline), ("weather", extended)):
-        model = fit(boosted(columns, target, rounds, depth=depth), train)
-        frames.append(regression_metrics(model.transform(test), actual=target)
-                      .withColumn("model", F.lit(name)))
-    both = frames[0].unionByName(frames[1])
-    base = F.max(F.when(F.col("model") == "baseline", F.col("mae")))
-    rows = both.groupBy().agg(base.alias("b"), F.collect_list(F.struct(*both.columns)).alias("r"))
-    return rows.select("b", F.inline("r")).withColumn(
-        "improvement_pct", ratio(F.col("b") - F.col("mae"), "b") * F.lit(100.0)).drop("b")
-
-
 def seasonal_naive(daily: DataFrame, target=PRODUCTION, n=7) -> DataFrame:
     """Deterministic predictor: mean of the previous ``n`` rows."""
     past = Window.partitionBy(SITE).orderBy(DAY).rowsBetween(-n, -1)

@@ -47,13 +47,6 @@ def test_compare_models_picks_the_lowest_error(spark):
     assert table[0].feature == "x" and table[0].importance == pytest.approx(1.0)
 
 
-def test_too_little_weather_gives_no_model(spark, intervals_of):
-    prod = intervals_of([(1, "2024-01-01 10:00", 1.0, 1.0, 0.0, 0.0)])
-    wx = prod.select("site_id", "ts", *[F.lit(1.0).alias(c) for c in M.IMPACT_COLUMNS[:7]])
-    assert M.train_weather_impact(prod, wx) is None
-    assert M.predict_weather_impact(None, wx).collect() == []
-
-
 def test_forest_finds_planted_anomalies(noisy):
     scored = An.anomalies(noisy, ["production_kwh", "x"], 0.05, trees=40).persist()
     worst = {(r.site_id, r.production_kwh) for r in An.most_anomalous(scored, 1).collect()}
