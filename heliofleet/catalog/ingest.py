@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.rollup import fill_days
 from ..session import work_path
-from ..sources import adapters as A, columns, files, payloads
+from .. import schema as S
+from ..sources import adapters as A, clustered, columns, files, payloads, quarantine
 from .base import (API, DAILY, ENERGY, ENERGY_F, INTERVALS, INTERVALS_WH, RAW_DAILY, WX_HOURLY,
                    catalog, with_)
 
@@ -250,3 +251,72 @@ def a11_csv(spark, sf_dir):
        "event_id:i ts:t user_id:i event_type:s value:f")
 def a12(spark, sf_dir):
     return A.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+# which row of the export is spoilt, and how, by the number of its quarter hour
+SPOILT = "CAST(floor(epoch(ts) / 900) AS BIGINT) % 10"
+
+
+def spoilt_csv(spark, sf_dir) -> str:
+    """The meter export as lines: in ten quarter hours, one lacks fields, one has no time, one a word for a number."""
+    kind = F.floor(F.unix_seconds("ts") / 900) % 10
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in VENDOR if c != "ts"}
+    stamp = F.when(kind == 2, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    first = F.when(kind == 3, "much").otherwise(text["production_wh"])
+    whole = F.concat_ws(",", F.col("site_id").cast("string"), stamp, first, *list(text.values())[1:])
+    line = F.when(kind == 1, F.concat_ws(",", F.col("site_id").cast("string"), stamp)).otherwise(whole)
+    path = work_path(spark, "spoilt-export")
+    A.intervals_wh(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return path
+
+
+def checked_csv(spark, sf_dir):
+    return quarantine.read_csv_checked(spark, spoilt_csv(spark, sf_dir), ["site_id", *VENDOR], ts_col="ts", header=False)
+
+
+@query("a1_quarantine_good", with_(INTERVALS_WH, select=f"""
+SELECT site_id, ts, production_wh, consumption_wh, export_wh, import_wh FROM intervals_wh WHERE {SPOILT} NOT IN (1, 2, 3)"""),
+    "site_id:i ts:t production_wh:f consumption_wh:f export_wh:f import_wh:f")
+def a1_good(spark, sf_dir):
+    return quarantine.good(checked_csv(spark, sf_dir))
+
+
+@query("a1_quarantine_bad", with_(INTERVALS_WH, f"""b AS (SELECT *, {SPOILT} AS kind, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t FROM intervals_wh)""", select="""
+SELECT site_id, CASE kind WHEN 1 THEN 'fields' WHEN 2 THEN 'time' ELSE 'number:production_wh' END AS problem, count(*) AS n,
+  min(CASE kind WHEN 1 THEN site_id || ',' || t END) AS first_line FROM b WHERE kind IN (1, 2, 3) GROUP BY 1, 2"""),
+    "site_id:i problem:s n:i first_line:s")
+def a1_bad(spark, sf_dir):
+    told = quarantine.bad(checked_csv(spark, sf_dir)).withColumn(
+        "site_id", F.coalesce("site_id", F.regexp_extract("line", r"^(\d+),", 1).cast("bigint")))
+    return told.groupBy("site_id", "problem").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("problem") == "fields", F.col("line"))).alias("first_line"))
+
+
+@query("a7_quarantined_payloads", with_(INTERVALS_WH, select="""
+SELECT site_id, CASE WHEN day(d) % 5 = 1 THEN 'json' ELSE 'missing:intervals' END AS problem, count(*) AS n
+FROM (SELECT DISTINCT site_id, CAST(ts AS DATE) AS d FROM intervals_wh) x WHERE day(d) % 5 IN (1, 2) GROUP BY 1, 2"""), "site_id:i problem:s n:i")
+def a7_checked(spark, sf_dir):
+    """Documents of every fifth day are cut off, and of the day after have no readings."""
+    reading = F.struct(F.unix_seconds("ts").alias("end_at"), F.col("production_wh").alias("wh_del"),
+                       F.col("faults").cast("double").alias("devices_reporting"))
+    docs = A.intervals_wh(spark, sf_dir).groupBy("site_id", F.to_date("ts").alias("day")).agg(F.collect_list(reading).alias("intervals"))
+    text = F.to_json(F.struct("intervals"))
+    kind = F.day("day") % 5
+    raw = docs.select("site_id", F.when(kind == 1, F.expr("substring(to_json(struct(intervals)), 1, 20)")).when(kind == 2, "{}").otherwise(text).alias("payload"))
+    return quarantine.bad(quarantine.check_payloads(raw, S.TELEMETRY_PAYLOAD, ["intervals"])).groupBy("site_id", "problem").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("a11_clustered_windows", with_(DAILY, select="""
+SELECT site_id, day, production_kwh, lag(production_kwh) OVER (PARTITION BY site_id ORDER BY day) AS day_before FROM daily"""),
+    "site_id:i day:d production_kwh:f day_before:f")
+def a11_clustered(spark, sf_dir):
+    """A window per site over the stored buckets, after the last year has been written again."""
+    path = work_path(spark, "clustered")
+    table = path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+    days = fill_days(A.daily_raw(spark, sf_dir))
+    clustered.write_clustered(days, table, path, 8)
+    clustered.write_clustered(days.where("day >= DATE '1998-01-01'"), table, path, 8)
+    site = Window.partitionBy("site_id").orderBy("day")
+    return clustered.read_clustered(spark, table).select(
+        "site_id", "day", "production_kwh", F.lag("production_kwh").over(site).alias("day_before"))

@@ -138,6 +138,21 @@ def c7(spark, d):
         "site_id", "city", "state", "residential_rate", "source", "confidence")
 
 
+@query("c7_nearest_anchor_table", """
+WITH s AS (SELECT c_custkey AS site_id, 20 + c_custkey * 37 % 400 / 8.0 AS latitude, -130 + c_custkey * 91 % 800 / 8.0 AS longitude FROM customer),
+a AS (SELECT s_suppkey AS anchor, 25 + s_suppkey * 53 % 240 / 8.0 AS latitude, -125 + s_suppkey * 29 % 560 / 8.0 AS longitude FROM supplier),
+p AS (SELECT site_id, anchor, sqrt((s.latitude - a.latitude) * (s.latitude - a.latitude) + (s.longitude - a.longitude) * (s.longitude - a.longitude)) AS d FROM s, a),
+n AS (SELECT * FROM p WHERE d < 5 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY d, anchor) = 1)
+SELECT site_id, anchor, d AS anchor_distance FROM s LEFT JOIN n USING (site_id)""", "site_id:i anchor:i anchor_distance:f")
+def c7_table(spark, d):
+    """Customers as sites and suppliers as anchors, placed on a lattice of eighths of a degree."""
+    sites = A.table(spark, d, "customer").selectExpr(
+        "c_custkey AS site_id", "20 + c_custkey * 37 % 400 / 8D AS latitude", "-130 + c_custkey * 91 % 800 / 8D AS longitude")
+    anchors = A.table(spark, d, "supplier").selectExpr(
+        "s_suppkey AS anchor", "25 + s_suppkey * 53 % 240 / 8D AS latitude", "-125 + s_suppkey * 29 % 560 / 8D AS longitude")
+    return tariffs.nearest_anchor(sites, anchors).select("site_id", "anchor", "anchor_distance")
+
+
 # every other site by state name, the rest by abbreviation; one in seven is unknown
 STATE_TEXT = """CASE WHEN c_custkey % 7 = 6 THEN 'Atlantis' WHEN c_custkey % 2 = 0 THEN 'New York'
   WHEN c_custkey % 3 = 0 THEN 'tx' ELSE 'CA' END"""

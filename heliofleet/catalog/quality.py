@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import quality as Q, timeline
+from pyspark.sql import functions as F
+
+from ..operators import quality as Q, sketches, timeline
 from ..sources import adapters as A
 from .base import API, ENERGY, INTERVALS, RAW_DAILY, READINGS, catalog, with_
 from .projections import GAPS, GAP_ROWS
@@ -168,3 +170,17 @@ def f14_daily(spark, d):
     return timeline.time_gaps(A.daily_raw(spark, d))
 
 
+PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@query("e24_sketched_quantiles", with_(INTERVALS, "r AS (SELECT site_id, count(production_kwh) AS n FROM intervals WHERE CAST(ts AS DATE) >= DATE '2024-01-05' GROUP BY 1)", select=f"""
+SELECT site_id, prob, n, 1 AS within FROM r, LATERAL (SELECT unnest([{', '.join(map(str, PROBS))}]) AS prob) p WHERE n > 0"""),
+    "site_id:i prob:f n:i within:i")
+def e24_sketched(spark, d):
+    """Quantiles of a range of days from daily sketches: the rank of each is held against all values."""
+    rows = A.intervals(spark, d)
+    first = "2024-01-05"
+    told = sketches.range_quantiles(sketches.daily_sketches(rows, ["production_kwh"]), PROBS, first)
+    errors = sketches.rank_errors(rows.where(F.to_date("ts") >= F.lit(first).cast("date")), told, "production_kwh", PROBS)
+    # a few values leave steps of 1 / n between ranks
+    return errors.select("site_id", "prob", "n", (F.col("rank_error") <= sketches.RANK_ERROR + 1 / F.col("n")).alias("within"))

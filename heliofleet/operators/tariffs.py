@@ -68,3 +68,26 @@ def site_tariffs(sites: DataFrame) -> DataFrame:
     return rate_summary(nearest_tariff(sites)).select(
         SITE, "state", "residential_rate", "feed_in_tariff", "annual_cost_per_kwh",
         "feed_in_rate_per_kwh")
+
+
+def nearest_anchor(sites: DataFrame, anchors: DataFrame, radius: float = dims.ANCHOR_RADIUS_DEGREES) -> DataFrame:
+    """``sites`` with ``anchor`` and ``anchor_distance``: the nearest row of a table of anchors.
+
+    ``anchors`` has anchor, latitude and longitude, and any number of rows. The plane is cut into cells of
+    the radius, so an anchor closer than that lies in a site's cell or one of the eight around it:
+    anchors are listed in all nine and sites meet them in an equi-join on the cell. Exactly
+    ``radius`` away is too far; of equally near anchors the smallest wins; NULL where none is near.
+    """
+    def cell(c):
+        return F.floor(F.col(c) / F.lit(float(radius)))
+
+    around = F.array(*[F.struct((cell("latitude") + i).alias("_y"), (cell("longitude") + j).alias("_x"))
+                       for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    listed = anchors.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
+        F.inline(around), "anchor", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+    lat, lon = F.col("latitude") - F.col("_lat"), F.col("longitude") - F.col("_lon")
+    placed = sites.select(SITE, "latitude", "longitude", cell("latitude").alias("_y"), cell("longitude").alias("_x"))
+    near = (placed.join(listed, ["_y", "_x"]).withColumn("_d", F.sqrt(lat * lat + lon * lon))
+            .where(F.col("_d") < F.lit(float(radius))).groupBy(SITE).agg(F.min(F.struct("_d", "anchor")).alias("_n")))
+    return sites.join(near, SITE, "left").select(
+        *sites.columns, F.col("_n.anchor").alias("anchor"), F.col("_n._d").alias("anchor_distance"))
