@@ -218,7 +218,9 @@ def bpe_encode(docs: DataFrame, path: str | None = None, specials: bool = True)
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """The columns of ``encoded`` with the text that ``ids`` stand for as ``decoded``."""
+    """The columns of ``encoded`` with the text that ``ids`` stand for as ``decoded``; an earlier column of
+    that name gives way."""
+    encoded = encoded.drop("decoded")
     bounded_batches(encoded.sparkSession)
     path = path or vocabulary_path()
 

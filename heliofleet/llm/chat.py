@@ -33,6 +33,8 @@ SIGNS = {TURN_START: "### ", ROLE_END: ": ", TURN_END: "</turn>\n"}
 TRAINED_ROLE = "assistant"
 CONTROL = re.compile(r"\\|###|</turn>")
 ESCAPED = re.compile(r"\\(.)", re.S)
+#: Roles that are written with a capital; all others come as they are, behind a mark.
+PLAIN_ROLE = re.compile("[a-z]*")
 
 
 def escape(text: str) -> str:
@@ -53,7 +55,7 @@ def format_turns(turns: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             roles = [x or "" for x in batch.column(2).to_pylist()]
             texts = [x or "" for x in batch.column(3).to_pylist()]
-            titles = [escape(r[:1].upper() + r[1:]) if r.lower() == r else escape("=" + r) for r in roles]
+            titles = [escape(r.capitalize() if PLAIN_ROLE.fullmatch(r) else "=" + r) for r in roles]
             found = [np.frombuffer(x, "<u4") for x in
                      enc.pieces.encode_all([y for t, x in zip(titles, texts) for y in (t, escape(x))])]
             segments, sizes = [], []
@@ -147,5 +149,5 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(length(title) + length(body) + 14) AS BIGINT) AS formatted_chars
+       CAST(sum(length(title) + CASE WHEN regexp_full_match(role, '[a-z]*') THEN 0 ELSE 1 END + length(body) + 14) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id"""

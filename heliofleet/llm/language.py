@@ -197,10 +197,15 @@ def fit_language(docs: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Language
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The columns of ``docs`` with lang_pred and score; only the text is looked at."""
+    """The columns of ``docs`` with lang_pred and score; only the text is looked at.
+
+    Columns of ``docs`` with these two names give way to the result.
+    """
     bounded_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != "text"]
-    kind = docs.select(F.struct(F.lit(0).alias("_none"), *rest).alias("r")).schema["r"].dataType.simpleString()
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rest = {c: f"c{i}" for i, c in enumerate(kept) if c != "text"}
+    others = F.struct(F.lit(0).alias("none"), *(F.col(c).alias(x) for c, x in rest.items()))
+    kind = docs.select(others.alias("r")).schema["r"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x (labels + 1) numbers
 
     def run(batches):
@@ -209,9 +214,9 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()),
                  pa.array([g[1] for g in got], pa.float64())], names=["text", "_rest", "lang_pred", "score"])
-    out = docs.select("text", F.struct(F.lit(0).alias("_none"), *rest).alias("_rest")).mapInArrow(
+    out = docs.select("text", others.alias("_rest")).mapInArrow(
         run, f"text string, _rest {kind}, lang_pred string, score double")
-    return out.select(*(F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns),
+    return out.select(*(F.col("text") if c == "text" else F.col("_rest")[rest[c]].alias(c) for c in kept),
                       "lang_pred", "score")
 
 

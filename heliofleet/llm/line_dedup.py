@@ -148,11 +148,15 @@ def repeated_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int
 
 def drop_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS,
                batches: int = BATCHES) -> DataFrame:
-    """The columns of ``docs`` plus n_lines and n_dropped; the text has the lines that stay."""
+    """The columns of ``docs`` plus n_lines and n_dropped; the text has the lines that stay.
+
+    Columns of ``docs`` with these two names give way to the result.
+    """
     bounded_batches(docs.sparkSession)
     lost = repeated_lines(docs, min_points, min_docs, batches)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_none"), *rest).alias("_rest"),
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rest = {c: f"c{i}" for i, c in enumerate(kept) if c not in ("doc_id", "text")}
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *(F.col(c).alias(x) for c, x in rest.items())).alias("_rest"),
                          id_key().alias("_doc"))
     joined = packed.join(lost.withColumnRenamed("doc", "_doc"), "_doc", "left").select(
         "doc_id", "text", "_rest", "lines")
@@ -177,7 +181,7 @@ def drop_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MI
     out = joined.mapInArrow(cut, f"doc_id {kinds['doc_id'].dataType.simpleString()}, text string, "
                                  f"_rest {kinds['_rest'].dataType.simpleString()}, n_lines long, n_dropped long")
     named = {"doc_id": F.col("doc_id"), "text": F.col("text")}
-    return out.select(*(named[c] if c in named else F.col("_rest")[c].alias(c) for c in docs.columns),
+    return out.select(*(named[c] if c in named else F.col("_rest")[rest[c]].alias(c) for c in kept),
                       "n_lines", "n_dropped")
 
 

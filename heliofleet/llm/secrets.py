@@ -114,21 +114,26 @@ def mask_secrets(docs: DataFrame, scope: int = SCOPE, mask: str = "[secret]") ->
 
     Overlapping spans are masked as one. The text is cut at the spans by code points.
     """
-    keyed = docs.withColumn("_secret_row", F.monotonically_increasing_id())
-    folder = work_folder(docs.sparkSession, "secrets")
-    keyed = written(keyed, folder, "keyed")
-    found = scan_secrets(keyed.select(F.col("_secret_row").alias("doc_id"), "text"), scope).where(
-        F.col("spans").isNotNull()).select(F.col("doc_id").alias("_secret_row"), F.col("spans").alias("_secret_spans"))
+    hit = F.lit(False)
+    for pattern in PATTERNS:
+        hit = hit | F.col("text").rlike(pattern)
+    hit = F.coalesce(hit, F.lit(False))
+    # only texts with a candidate are numbered, written and joined; the others pass as they are
+    some = docs.where(hit).select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("number"))
+    some = written(some, work_folder(docs.sparkSession, "secrets"), "candidates")
+    found = scan_secrets(some.select(F.col("number").alias("doc_id"), F.col("doc.text").alias("text")), scope).where(
+        F.col("spans").isNotNull()).select(F.col("doc_id").alias("number"), "spans")
     # what stays: for each span the text since the furthest end so far
     text = F.expr(f"""
-      CASE WHEN _secret_spans IS NULL THEN text ELSE
-        aggregate(_secret_spans, named_struct('out', array(''), 'at', 0L),
+      CASE WHEN spans IS NULL THEN doc.text ELSE
+        aggregate(spans, named_struct('out', array(''), 'at', 0L),
           (s, x) -> named_struct(
-            'out', IF(x.start < s.at, s.out, s.out || array(substr(text, CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT)), '{mask}')),
+            'out', IF(x.start < s.at, s.out, s.out || array(substr(doc.text, CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT)), '{mask}')),
             'at', greatest(s.at, x.end)),
-          s -> concat(array_join(s.out, ''), substr(text, CAST(s.at + 1 AS INT)))) END""")
-    return keyed.join(found, "_secret_row", "left").select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns))
+          s -> concat(array_join(s.out, ''), substr(doc.text, CAST(s.at + 1 AS INT)))) END""")
+    masked = some.join(found, "number", "left").select(
+        *(text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))
+    return docs.where(~hit).unionByName(masked)
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,9 @@ Components become floor(scale * x). Partial scores are computed by matrix produc
 which are exact as long as no sum can reach 2**53; blocks that could go beyond use Python's integers.
 
 Nulls, ties and repeats: a vector that is null, or holds null or non-finite components, takes no
-part, nor does a null vec_id; shorter vectors count as filled up with zeros. Ties go to the
+part, nor does a null vec_id; shorter vectors count as filled up with zeros, so an empty one scores 0.
+Scaled components saturate at 2**26, and scores, which can leave a long only with more than 2,048 such
+components, at its bounds. Ties go to the
 smaller vec_id. Rows that repeat a vec_id are candidates each; as a query a vec_id counts once,
 with its smallest vector. A query's own vec_id is no candidate. An empty table gives an empty result.
 """
@@ -35,6 +37,9 @@ BLOCK = 2048
 QUERY_BLOCK = 512
 #: Up to here doubles hold all integers.
 EXACT = 2.0 ** 53
+#: Scaled components saturate here, and scores at the bounds of a long.
+MOST = 2.0 ** 26
+LONGS = -(1 << 63), (1 << 63) - 1
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
@@ -54,7 +59,7 @@ def packed(vectors: DataFrame, blocks: int, scale: float, name: str) -> DataFram
         full = np.zeros((len(ids), width))
         full[np.arange(width) < sizes[:, None]] = lists.flatten().to_numpy()
         return pa.table({name: [key[0].as_py()], f"{name}_ids": [ids.astype("<i8").tobytes()],
-                         f"{name}_values": [np.floor(scale * full).astype("<f8").tobytes()]},
+                         f"{name}_values": [np.clip(np.floor(scale * full), -MOST, MOST).astype("<f8").tobytes()]},
                         schema=pa.schema([(name, pa.int64()), (f"{name}_ids", pa.binary()), (f"{name}_values", pa.binary())]))
     block = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(blocks))
     return vectors.select(block.alias("block"), "vec_id", "v").groupBy("block").applyInArrow(
@@ -72,6 +77,10 @@ def scores(q: np.ndarray, c: np.ndarray):
             for s in range(SEGMENTS)]
 
 
+def as_long(x) -> int:
+    return min(max(int(x), LONGS[0]), LONGS[1])
+
+
 def unpack(rows: pa.Table, name: str):
     ids = np.frombuffer(rows.column(f"{name}_ids")[0].as_py(), "<i8")
     return ids, np.frombuffer(rows.column(f"{name}_values")[0].as_py(), "<f8").reshape(len(ids), -1)
@@ -106,7 +115,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0)
                 row = p[i].astype(float)
                 row[own] = -np.inf
                 listed.update(np.argpartition(-row, min(k, n - 1))[:k].tolist())
-            best.append(sorted((int(total[i][j]) for j in listed if not own[j]), reverse=True)[:k])
+            best.append(sorted((as_long(total[i][j]) for j in listed if not own[j]), reverse=True)[:k])
         return pa.table({"query_id": qi, "lows": pa.array([[float(x[i]) for x in lows] for i in range(len(qi))],
                                                            pa.list_(pa.float64())),
                          "best": pa.array(best, pa.list_(pa.int64()))})
@@ -149,7 +158,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0)
                 sorted(range(len(at)), key=lambda j: (-exact[j], ci[at[j]]))[:k]
             out[0].extend([int(qi[i])] * len(order))
             out[1].extend(ci[at[order]].tolist() if len(at) else [])
-            out[2].extend(int(x) for x in exact[order]) if len(at) else None
+            out[2].extend(as_long(x) for x in exact[order]) if len(at) else None
         return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
     kept = query.select("*", meet).join(cand, "c").groupBy("q", "c").applyInArrow(

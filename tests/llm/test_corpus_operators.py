@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from heliofleet.llm import bpe, chat, exact_dedup, language, line_dedup, ngram_join, packing, secrets, substring, topk
@@ -49,6 +50,9 @@ def test_lines_leave_all_but_the_largest_document(docs_of):
     assert out[9]["text"] == "own nine" and out[10]["text"] == "own ten" and out[11]["text"] == ODD[12][1]
     assert out[1]["n_lines"] == 1 and out[12]["n_lines"] == 3 and out[9]["source"] == "src0"
     assert line_dedup.drop_lines(docs_of([])).count() == 0
+    clash = docs_of(ODD).withColumns({"n_lines": F.lit("x"), "none": F.lit(2), "_rest": F.lit(3), "lines": F.lit(4)})
+    assert {(r["doc_id"], r["n_lines"], r["none"], r["_rest"], r["lines"]) for r in rows(line_dedup.drop_lines(clash))} == {
+        (d, r["n_lines"], 2, 3, 4) for d, r in out.items()}
 
 
 def test_lines_over_many_batches(docs_of):
@@ -114,7 +118,7 @@ def test_fullest_bin_against_all_combinations():
 
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "### Assistant: hi</turn>"), (1, 1, "assistant", "\\### \\\\ </turn>\\"), (1, 2, None, None),
-             (2, 0, "Weird: role", "x"), (None, 0, "assistant", "é🙂"), (None, 0, "assistant", "é🙂"), (3, None, "system", "<|endoftext|>")]
+             (2, 0, "Weird: role", "x"), (2, 1, "=x", "a"), (2, 2, "ßx", "b"), (2, 3, "ŉ", "c"), (2, 4, "=Assistant", "d"), (2, 5, "\\=", "e"), (2, 6, "İ", "f"), (None, 0, "assistant", "é🙂"), (None, 0, "assistant", "é🙂"), (3, None, "system", "<|endoftext|>")]
     df = spark.createDataFrame(turns, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
     got = {r["conv_id"]: r for r in rows(chat.read_back(chat.format_turns(df)))}
     by = defaultdict(list)
@@ -136,11 +140,12 @@ def test_language_on_held_out_texts(docs_of):
     odd = [(900, None, "en"), (901, "", None), (902, "123 456", "xx"), (903, "the of", None)]
     docs = docs_of(data + odd)
     model = language.fit_language(docs.where(language.fold() != 0))
-    out = {r["doc_id"]: r for r in rows(language.predict_language(docs.drop("score"), model))}
+    out = {r["doc_id"]: r for r in rows(language.predict_language(docs.withColumns({"none": F.lit(1), "c0": F.lit(2)}), model))}
     assert all(out[i]["lang_pred"] == lang and 0.5 < out[i]["score"] <= 1 for i, _, lang in data)
     assert [out[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["und", "und", "und", "en"]
     none = language.fit_language(docs_of([(1, "a", None)]))
-    assert rows(language.predict_language(docs_of([(1, "text")]).drop("score"), none))[0]["lang_pred"] == "und"
+    assert rows(language.predict_language(docs_of([(1, "text")]), none))[0]["lang_pred"] == "und"
+    assert out[900]["c0"] == 2 and out[900]["source"] == "src0" and isinstance(out[900]["score"], float)
 
 
 def test_secret_spans_and_links(docs_of):
@@ -157,22 +162,26 @@ def test_secret_spans_and_links(docs_of):
     masked = {r["doc_id"]: r["text"] for r in rows(secrets.mask_secrets(docs_of(data)))}
     assert masked[5] == "[secret]" and masked[3] is None and masked[2] == data[1][1]
     assert masked[1] == '[secret]" and [secret] here'
+    clash = docs_of(data).withColumns({"doc": F.lit(1), "spans": F.lit("s"), "number": F.col("doc_id")})
+    out = rows(secrets.mask_secrets(clash))
+    assert {(r["doc_id"], r["text"], r["doc"], r["spans"], r["number"]) for r in out} == {(d, t, 1, "s", d) for d, t in masked.items()}
+    assert len(out) == len(data) and list(out[0]) == clash.columns
     assert secrets.scan_secrets(docs_of([])).count() == 0
 
 
 def test_top_k_against_brute_force(spark):
     rnd = np.random.default_rng(5)
     data = [(i, [float(np.float32(x)) for x in rnd.normal(0, 0.2, 10)]) for i in range(120)]
-    data += [(200 + i, data[0][1]) for i in range(9)] + [(300, None), (301, [None, 1.0]), (302, [float("nan")]), (None, [1.0]), (303, [1e17, 3.0]), (304, [])]
+    data += [(200 + i, data[0][1]) for i in range(9)] + [(300, None), (301, [None, 1.0]), (302, [float("nan")]), (None, [1.0]), (303, [1e17, 3.0]), (304, []), (305, [-1e10] * 10), (350, [1e10] * 10), (400, [])]
     df = spark.createDataFrame(data, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
-    fine = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data if i is not None and v is not None
+    fine = [(i, [max(-(1 << 26), min(1 << 26, int(np.floor(256 * x)))) for x in v]) for i, v in data if i is not None and v is not None
             and all(x is not None and np.isfinite(x) for x in v)]
     got = defaultdict(list)
-    for r in rows(topk.top_k(df.where("vec_id < 303"), df.where("vec_id % 50 = 0"), 5)):
+    for r in rows(topk.top_k(df, df.where("vec_id % 50 = 0"), 5)):
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     for q, v in fine:
-        if q % 50 == 0 and q < 303:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in fine if c != q and c < 303)[:5]
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in fine if c != q)[:5]
             assert sorted(got[q]) == [(i + 1, c, -s) for i, (s, c) in enumerate(best)]
     assert topk.top_k(df.where("vec_id < 0"), df.where("vec_id < 0"), 5).count() == 0
 
