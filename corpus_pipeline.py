@@ -7,7 +7,7 @@ pass through. Documents leave in two stages only: without a recognisable languag
 duplicates of a document that stays.
 
 Nulls, ties and repeats: a null text has no language and goes. Rows that share a doc_id are one
-document from the near-duplicate stage on, which keeps one of them. Empty tables pass through.
+document from the near-duplicate stage on, which keeps the one whose text comes first. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -41,8 +41,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group of near duplicates."""
     found = ngram_join.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    kept = found.select(id_key("component_id").alias("_kept")).distinct()
-    return docs.withColumn("_kept", id_key()).join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select(docs.columns)
+    kept = found.select(id_key("component_id").alias("id")).distinct()
+    # rows that share an id: the one whose text, then whose other columns, come first
+    rows = docs.select(id_key().alias("id"), F.struct("text", F.struct(*docs.columns).alias("row")).alias("r"))
+    one = rows.join(kept, "id", "left_semi").groupBy("id").agg(F.min("r").alias("r"))
+    return one.select(*(F.col("r.row")[c].alias(c) for c in docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
