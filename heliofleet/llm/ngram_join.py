@@ -12,9 +12,15 @@ against the whole sets.
 A list may hold a third of all documents, so candidates are not all pairs of a list. Entries of a
 list are numbered; neighbours at some distances meet first, in an equi-join on (shingle,
 number). Links found join their documents to components, and pairs within a component need no
-look any more. At last, in the lists that still have several components, each entry outside the
-list's largest component meets all entries of other components. So every pair of a list is
-either looked at or known to be connected, and no link between components is lost.
+look any more. Long lists that still have several components get a pivot, the member that is in
+most long lists, and members are told by their differences from it. Two members whose differences
+are small enough together are similar without a look, and all of those are linked to the member
+with the smallest difference; others can only be similar if the differences share enough
+shingles, so these have prefixes of their own to meet in. Members far from the pivot get another
+one, PIVOTS times. What is left then, in lists that still have several components, meets entry by
+entry: each one outside the list's largest component with all of other components. So every pair
+of a list is either looked at or known to be connected or too different, and no link between
+components is lost.
 
 Nulls, ties and repeats: null texts and texts without words have an empty set and no links. Rows
 with the same doc_id are one document, with the links of all its texts; of different texts of one
@@ -41,6 +47,8 @@ SKETCH_BITS = 18
 MATCHES, COST, MOST_MATCHES = 8, 64, 16
 #: Distances at which the neighbours of a list meet, round by round.
 ROUNDS = ((1, 1), (2, 4), (5, 16))
+#: Pivots of a long list, one after the other.
+PIVOTS = 3
 LIST_PART = 500_000
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -83,11 +91,9 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
-def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def signatures(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
     """doc, n, sig, p (the prefix for one match), m and prefix (rare shingles first) per document."""
-    counts = count_table(docs, words)
-    noise = int(np.median(counts))
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+    noise = int(np.median(shared.value))
 
     def run(batches):
         for batch in batches:
@@ -115,11 +121,15 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
         run, "doc long, n long, sig binary, p int, m int, prefix array<long>")
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """rep, m, prefix and tokens (the whole set) for rows of doc, text, m, prefix."""
+def full_sets(docs: DataFrame, words: int, shared) -> DataFrame:
+    """rep, m, prefix and tokens (the whole set, rare ones first) for rows of doc, text, m, prefix."""
+    def ordered(text):
+        s = shingle_set(text, words)
+        return s[np.lexsort((s, shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))].view(np.int64)
+
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)]
+            sets = [ordered(t.as_py()) for t in batch.column(1)]
             sizes = np.cumsum([0, *map(len, sets)])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -147,13 +157,62 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
+def pivot_differences(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pivot, rep, comp, size, far, ball, core, diff for the members of ``entries`` (token, rep, comp, pivot).
+
+    diff are the shingles that only one of member and pivot has, those of the member first. With n
+    shingles in a set, two members are similar if far(a) + far(b) <= 2 (100 + percent) * shared, where far is
+    (100 + percent) * size - (100 - percent) * n and shared counts the shingles that both diffs have.
+    A core member's similar ones are all in the ball.
+    """
+    members = entries.select("pivot", "rep", "comp").distinct()
+    bases = sets.join(members.select(F.col("pivot").alias("rep")).distinct(), "rep", "left_semi").select(
+        F.col("rep").alias("pivot"), F.col("tokens").alias("base"))
+    both = members.join(sets.select("rep", "tokens"), "rep").join(bases, "pivot").select(
+        "pivot", "rep", "comp", F.size("tokens").cast("long").alias("n"),
+        F.concat(F.array_except("tokens", "base"), F.array_except("base", "tokens")).alias("diff"))
+    reach = 50 / percent + (100 - percent) / (100 + percent) * (1 + 100 / percent)
+    size = F.size("diff").cast("long")
+    ball = size <= F.col("n") * (reach + 1e-9)
+    return both.select("pivot", "rep", "comp", size.alias("size"),
+                       ((100 + percent) * size - (100 - percent) * F.col("n")).alias("far"), ball.alias("ball"),
+                       (2 * size <= F.col("n")).alias("core"), F.when(ball, F.col("diff")).alias("diff"))
+
+
+def difference_pairs(balls: DataFrame, percent: int) -> DataFrame:
+    """a, b: members of one ball, in different components, whose differences may share enough.
+
+    ``balls`` (pivot, rep, comp, size, far, diff, nearest). A pair that is not similar for sure must
+    share a number of shingles that grows with both distances; so it meets in the first
+    size - least number + 1 of both diffs, and at its first common shingle enough of both must be left.
+    """
+    unit = 2 * (100 + percent)
+    least = F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("nearest")) / unit)).cast("int")
+    keys = balls.withColumn("least", least).where(F.col("least") <= F.col("size")).select(
+        "pivot", "rep", "comp", "far", "size",
+        F.posexplode(F.slice("diff", F.lit(1), F.col("size").cast("int") - F.col("least") + 1)).alias("i", "token"))
+    # what is left from this shingle on, as the distance that it can bridge
+    keys = keys.select("pivot", "token", "rep", "comp", "far", (unit * (F.col("size") - F.col("i"))).alias("left"))
+    mixed = keys.groupBy("pivot", "token").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
+    keys = keys.join(mixed.select("pivot", "token"), ["pivot", "token"], "left_semi")
+
+    def side(name):
+        return keys.select("pivot", "token", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "comp", "far", "left")))
+    together = F.col("far_a") + F.col("far_b")
+    return side("a").join(side("b"), ["pivot", "token"]).where(
+        (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b"))
+        & (together <= F.col("left_a")) & (together <= F.col("left_b"))).select(
+        F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = work_folder(spark, "ngram")
     docs = texts_of(docs)
-    signed = written(signatures(docs, words, percent), folder, "signatures")
+    shared_counts = spark.sparkContext.broadcast(count_table(docs, words))  # of fixed size
+    signed = written(signatures(docs, words, percent, shared_counts), folder, "signatures")
     classes = signed.where(F.col("n") > 0).groupBy("sig", "n").agg(
         F.min(F.struct("doc", "p", "m", "prefix")).alias("r"))
     reps = written(classes.select("sig", "n", F.col("r.doc").alias("rep"), "r.p", "r.m", "r.prefix"), folder, "classes")
@@ -179,7 +238,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"sets_{folder.rsplit('-', 1)[-1]}"
     # the join has dealt the texts by the same key, so every bucket is written by one task
-    (full_sets(bodies, words).write.bucketBy(buckets, "rep").sortBy("rep")
+    (full_sets(bodies, words, shared_counts).write.bucketBy(buckets, "rep").sortBy("rep")
      .format("parquet").option("path", f"{folder}/sets").saveAsTable(name))
     sets = spark.table(name)
     labels = involved.select(F.col("doc").alias("rep"), F.col("doc").alias("comp"))
@@ -191,7 +250,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         """``labels`` after the similar ones of ``pairs`` are linked."""
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
                         folder, f"pairs-{name}")
-        links = similar_pairs(pairs, sets, percent)
+        return labels if pairs.isEmpty() else linked(labels, similar_pairs(pairs, sets, percent), name)
+
+    def linked(labels, links, name):
         edges = links.join(labels.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(
             labels.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b").select(
             F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -215,8 +276,28 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         labels = joined(labels, left.join(right, ["token", "at"]).where(
             (F.col("ca") != F.col("cb")) & sized("x", "y")).select("a", "b"), f"{lo}")
     reach = ROUNDS[-1][1]
-    if longest > reach:
-        now = postings.where(F.col("length") > reach + 1).join(labels, "rep")
+    rest = postings.where(F.col("length") > reach + 1).select("token", "rep", "n", "at")
+    for step in range(PIVOTS if longest > reach + 1 else 0):
+        lists = rest.groupBy("rep").agg(F.count(F.lit(1)).alias("k"))
+        now = rest.join(labels, "rep").join(lists, "rep")
+        mixed = now.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"),
+                                         F.max(F.struct("k", "rep")).alias("top")).where("c <> d")
+        now = written(now.join(mixed.select("token", F.col("top.rep").alias("pivot")), "token").drop("k"),
+                      folder, f"entries-pivot{step}")
+        if now.isEmpty():
+            longest = 0
+            break
+        apart = written(pivot_differences(now, sets, percent), folder, f"apart{step}")
+        nearest = apart.groupBy("pivot").agg(F.min(F.struct("far", "rep")).alias("top")).select(
+            "pivot", F.col("top.far").alias("nearest"), F.col("top.rep").alias("hub"))
+        balls = apart.where("ball").join(nearest, "pivot")
+        sure = balls.where("far + nearest <= 0 AND rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        labels = linked(labels, sure, f"sure{step}")
+        labels = joined(labels, difference_pairs(balls.drop("comp").join(labels, "rep"), percent), f"pivot{step}")
+        rest = now.join(apart.where(~F.col("core")).select("pivot", "rep"), ["pivot", "rep"], "left_semi").select(
+            "token", "rep", "n", "at")
+    if longest > reach + 1:
+        now = rest.join(labels, "rep")
         parts = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         largest = parts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
         largest = largest.where(F.col("comps") > 1).select("token", F.col("top.comp").alias("main"))
