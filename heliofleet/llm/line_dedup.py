@@ -28,7 +28,6 @@ MIN_POINTS = 20
 MIN_DOCS = 3
 BATCHES = 4
 FANOUT = 3
-BUCKETS = 12
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -58,8 +57,10 @@ def line_keys(docs: DataFrame, min_points: int) -> DataFrame:
 class LineRuns:
     """The levelled runs: tables of (line, docs, holder) below one shared folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT, buckets: int = BUCKETS):
-        self.spark, self.folder, self.fanout, self.buckets = spark, folder, fanout, buckets
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT):
+        self.spark, self.folder, self.fanout = spark, folder, fanout
+        # as many buckets as a shuffle has partitions, so that every bucket is written by one task
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.made = 0
 
