@@ -223,6 +223,31 @@ def test_ngram_join_against_all_pairs(docs_of, words, percent):
     assert got == plain_components(data, words, percent)
 
 
+@pytest.mark.parametrize("words, percent, pivots", [(3, 90, 3), (3, 90, 1), (5, 80, 3)])
+def test_ngram_join_of_long_lists(docs_of, monkeypatch, words, percent, pivots):
+    """Hundreds of near copies, too different to be one component after the neighbour rounds."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", ((1, 1),))
+    monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
+    seen = []
+    differences = ngram_join.pivot_differences
+    monkeypatch.setattr(ngram_join, "pivot_differences", lambda *a: seen.append(1) or differences(*a))
+    rnd = random.Random(percent + pivots)
+    base = [f"b{i}" for i in range(110)]
+    bases = [base, base[:60] + [f"c{i}" for i in range(50)], base[:100] + [f"d{i}" for i in range(12)],
+             [f"d{i}" for i in range(12)] + base[20:], base[:15]]
+    data = []
+    for i in range(700):
+        own = list(rnd.choice(bases))
+        for _ in range(rnd.choice((0, 1, 2, 3, 4, 5, 6, 8))):
+            at = rnd.randrange(len(own))
+            own[at:at + 1] = rnd.choice(([], [f"e{rnd.randrange(40)}"], [f"own{i}"], [own[at], f"own{i}"]))
+        data.append((i, " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(ngram_join.near_duplicates(docs_of(data), words, percent))}
+    want = plain_components(data, words, percent)
+    assert got == want
+    assert seen and 10 < len({c for _, c in want.values()}) < 600
+
+
 def test_ngram_join_of_nothing(docs_of):
     assert ngram_join.near_duplicates(docs_of([])).count() == 0
 
