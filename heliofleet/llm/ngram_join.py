@@ -180,7 +180,7 @@ def pivot_differences(entries: DataFrame, sets: DataFrame, percent: int) -> Data
 
 
 def difference_pairs(balls: DataFrame, percent: int) -> DataFrame:
-    """a, b: members of one ball, in different components, whose differences may share enough.
+    """pivot, a, b: members of one ball, in different components, whose differences may share enough.
 
     ``balls`` (pivot, rep, comp, size, far, diff, nearest). A pair that is not similar for sure must
     share a number of shingles that grows with both distances; so it meets in the first
@@ -201,8 +201,17 @@ def difference_pairs(balls: DataFrame, percent: int) -> DataFrame:
     together = F.col("far_a") + F.col("far_b")
     return side("a").join(side("b"), ["pivot", "token"]).where(
         (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b"))
-        & (together <= F.col("left_a")) & (together <= F.col("left_b"))).select(
-        F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        & (together <= F.col("left_a")) & (together <= F.col("left_b"))).groupBy(
+        F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.min("pivot").alias("pivot"))
+
+
+def similar_by_differences(pairs: DataFrame, balls: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (pivot, a, b), those that are similar; only the differences move, no whole sets."""
+    def side(name):
+        return balls.select("pivot", F.col("rep").alias(name), F.col("far").alias(f"far_{name}"),
+                            F.col("diff").alias(f"diff_{name}"))
+    return pairs.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"]).where(
+        F.col("far_a") + F.col("far_b") <= 2 * (100 + percent) * F.size(F.array_intersect("diff_a", "diff_b"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -293,7 +302,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         balls = apart.where("ball").join(nearest, "pivot")
         sure = balls.where("far + nearest <= 0 AND rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
         labels = linked(labels, sure, f"sure{step}")
-        labels = joined(labels, difference_pairs(balls.drop("comp").join(labels, "rep"), percent), f"pivot{step}")
+        pairs = written(difference_pairs(balls.drop("comp").join(labels, "rep"), percent), folder, f"pairs-pivot{step}")
+        if not pairs.isEmpty():
+            labels = linked(labels, similar_by_differences(pairs, apart.where("ball"), percent), f"pivot{step}")
         rest = now.join(apart.where(~F.col("core")).select("pivot", "rep"), ["pivot", "rep"], "left_semi").select(
             "token", "rep", "n", "at")
     if longest > reach + 1:
