@@ -5,8 +5,8 @@ Documents come in batches, the largest ids first. Each batch is reduced to a sor
 that no run has is held by the largest document of this batch; a key that is known only adds
 to the number of documents. The batch then adds its own run to level 0. When a level has
 FANOUT runs, they are compacted into one run of the next level; a last compaction ends the
-job. Runs are tables bucketed and sorted by key in the shared folder, so a merge reads its
-buckets in order and moves no run over the network.
+job. Runs are tables bucketed and sorted by key in the shared folder, so a merge moves no
+run over the network; Spark sorts the rows of a bucket again when it reads them.
 
 Keys are 128-bit digests of the lines, so no text is moved before the last step, where the
 texts meet the keys that they lose.
