@@ -138,3 +138,39 @@ def test_fit_leaves_out_incomplete_rows_and_predict_keeps_them(planted):
     model = M.fit(M.linear(["x1", "x2"]), planted.where("site_id = 1"))
     scored = M.predict(model, planted.where("site_id = 1"))
     assert scored.count() == 301 and scored.where("prediction IS NULL").count() == 1
+
+
+def test_fitted_values_are_those_of_a_walk():
+    rng = np.random.default_rng(5)
+    codes, y = rng.integers(0, 32, (400, 3)), rng.normal(size=400)
+    y[:150] = 1.0  # nodes of equal targets are left behind
+    for weight in (np.ones(400), rng.integers(0, 3, 400).astype(float)):
+        fitted = np.zeros(400)
+        tree = S.grow(codes, y, weight, 8, fitted)
+        assert (fitted == S.walk(tree, codes))[weight > 0].all()
+        leaves = S.walk(S.grow(codes, y, weight, 8), codes)
+        for v in np.unique(leaves[weight > 0]):
+            rows = (leaves == v) & (weight > 0)
+            assert v == pytest.approx((weight * y)[rows].sum() / weight[rows].sum())
+
+
+def test_isolation_trees_draw_as_a_plain_version_does():
+    def plain(rows, rng, limit):
+        nodes, todo = [None], [(0, rows, 0)]
+        while todo:
+            at, part, depth = todo.pop()
+            wide = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(part) else []
+            if depth >= limit or len(part) <= 1 or len(wide) == 0:
+                nodes[at] = (-1, 0.0, -1, -1, depth + An._path_norm(len(part)))
+                continue
+            feature = int(rng.choice(wide))
+            cut = rng.uniform(part[:, feature].min(), part[:, feature].max())
+            goes = part[:, feature] < cut
+            nodes[at] = (feature, float(cut), len(nodes), len(nodes) + 1, 0.0)
+            nodes += [None, None]
+            todo += [(len(nodes) - 2, part[goes], depth + 1), (len(nodes) - 1, part[~goes], depth + 1)]
+        return nodes
+    data = np.random.default_rng(1).normal(size=(300, 4)).round(1)
+    data[:, 3] = 2.0
+    for n in (1, 2, 30, 300):
+        assert An._grow(data[:n], np.random.default_rng(7), 8) == plain(data[:n], np.random.default_rng(7), 8)
