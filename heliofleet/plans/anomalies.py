@@ -7,6 +7,8 @@ only thing that reaches the driver: at most 511 nodes per tree.
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -26,21 +28,48 @@ def _path_norm(n):
     return 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
 
 
+#: Rows of a node from which on arrays are quicker than lists.
+FEW = 48
+
+
 def _grow(rows: np.ndarray, rng, limit: int):
-    """Nodes of one tree as (feature, threshold, left, right, path length); -1 is a leaf."""
-    nodes, todo = [None], [(0, rows, 0)]
+    """Nodes of one tree as (feature, threshold, left, right, path length); -1 is a leaf.
+
+    Most nodes hold a handful of rows, so these are kept as lists, whose steps cost less than an array's.
+    """
+    nodes, todo = [None], [(0, rows.T, 0)]
+    norms = [_path_norm(n) for n in range(len(rows) + 1)]
     while todo:
         at, part, depth = todo.pop()
-        wide = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(part) else []
-        if depth >= limit or len(part) <= 1 or len(wide) == 0:
-            nodes[at] = (-1, 0.0, -1, -1, depth + _path_norm(len(part)))
+        if isinstance(part, np.ndarray) and part.shape[1] < FEW:
+            part = part.tolist()
+        n = len(part[0]) if isinstance(part, list) else part.shape[1]
+        if depth >= limit or n <= 1:
+            nodes[at] = (-1, 0.0, -1, -1, depth + norms[n])
+            continue
+        if isinstance(part, list):
+            ends = [(min(c), max(c)) for c in part]
+        else:
+            ends = list(zip(part.min(axis=1).tolist(), part.max(axis=1).tolist()))
+        wide = [i for i, (low, high) in enumerate(ends) if high > low]
+        if not wide:
+            nodes[at] = (-1, 0.0, -1, -1, depth + norms[n])
             continue
-        feature = int(rng.choice(wide))
-        cut = rng.uniform(part[:, feature].min(), part[:, feature].max())
-        goes = part[:, feature] < cut
-        nodes[at] = (feature, float(cut), len(nodes), len(nodes) + 1, 0.0)
+        # the draws of rng.choice(wide) and rng.uniform(low, high)
+        feature = wide[int(rng.integers(0, len(wide)))] if len(wide) > 1 else wide[0]
+        low, high = ends[feature]
+        cut = low + (high - low) * rng.random()
+        if isinstance(part, list):
+            goes = [v < cut for v in part[feature]]
+            yes = [list(compress(c, goes)) for c in part]
+            goes = [not v for v in goes]
+            no = [list(compress(c, goes)) for c in part]
+        else:
+            goes = part[feature] < cut
+            yes, no = part[:, goes], part[:, ~goes]
+        nodes[at] = (feature, cut, len(nodes), len(nodes) + 1, 0.0)
         nodes += [None, None]
-        todo += [(len(nodes) - 2, part[goes], depth + 1), (len(nodes) - 1, part[~goes], depth + 1)]
+        todo += [(len(nodes) - 2, yes, depth + 1), (len(nodes) - 1, no, depth + 1)]
     return nodes
 
 
@@ -81,17 +110,25 @@ def grow_forest(df: DataFrame, features, trees=100, seed=42, sample=SAMPLE) -> D
 def tree_scores(data: np.ndarray, forest, sample: int) -> np.ndarray:
     """Negated scores of the paper for rows of ``data``; ``sample`` rows have grown each tree."""
     total = np.zeros(len(data))
+    flat, width = np.ascontiguousarray(data).ravel(), data.shape[1]
+    base = np.arange(len(data)) * width
     for tree in forest:
-        at = np.zeros(len(data), dtype=int)
+        feature, cut, length = tree[:, 0].astype(int), tree[:, 1], tree[:, 4]
+        step = np.stack([tree[:, 3], tree[:, 2]], axis=1).astype(int).ravel()  # right, left
+        ends = np.zeros(len(data))
+        row, at = base, np.zeros(len(data), dtype=int)
+        left = np.arange(len(data))
         while True:
-            feature = tree[at, 0].astype(int)
-            inner = np.flatnonzero(feature >= 0)
-            if len(inner) == 0:
-                break
-            here = at[inner]
-            left = data[inner, feature[inner]] < tree[here, 1]
-            at[inner] = np.where(left, tree[here, 2], tree[here, 3]).astype(int)
-        total += tree[at, 4]
+            f = feature[at]
+            inner = f >= 0
+            if not inner.all():
+                out = ~inner
+                ends[left[out]] = length[at[out]]
+                left, row, at, f = left[inner], row[inner], at[inner], f[inner]
+                if not len(at):
+                    break
+            at = step[2 * at + (flat[row + f] < cut[at])]
+        total += ends
     norm = _path_norm(sample)
     return -np.power(2.0, -total / len(forest) / norm) if norm else np.full(len(data), -1.0)
 
