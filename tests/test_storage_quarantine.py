@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 from collections import Counter
@@ -121,3 +122,21 @@ def test_timeline_is_read_once(spark, intervals_of):
     stored = work_path(spark, "readings")
     df.write.parquet(stored)
     assert plan_of(timeline.temporal_completeness(spark.read.parquet(stored))).count("FileScan") == 1
+
+
+def test_nearest_anchor_meets_few_of_a_crowd(spark):
+    """Anchors stand close together: a site is not held against all of them."""
+    rnd = random.Random(4)
+    crowd = [(i, 40 + rnd.random() * 2, -100 + rnd.random() * 2) for i in range(3000)]
+    crowd += [(5000 + i, 40.0, -100.0) for i in range(3)] + [(6000, 30.0, -100.0), (6001, float("nan"), 1.0)]
+    sites = [(i, 38 + rnd.random() * 6, -103 + rnd.random() * 8) for i in range(150)] + [(900, 40.0, -100.0), (901, 31.0, -101.0), (902, 0.0, 0.0), (903, None, 1.0)]
+    got = tariffs.nearest_anchor(spark.createDataFrame(sites, "site_id BIGINT, latitude DOUBLE, longitude DOUBLE"),
+                                 spark.createDataFrame(crowd, "anchor BIGINT, latitude DOUBLE, longitude DOUBLE"))
+    told = {r.site_id: (r.anchor, r.anchor_distance) for r in got.collect()}
+    for site, lat, lon in sites:
+        near = [] if lat is None else [(math.sqrt((lat - y) ** 2 + (lon - x) ** 2), a) for a, y, x in crowd if x == x and y == y]
+        near = min([n for n in near if n[0] < 5], default=(None, None))
+        assert told[site][0] == near[1] and told[site][1] == (near[0] if near[0] is None else pytest.approx(near[0])), site
+    assert told[900][0] == 5000
+    assert tariffs._depth(spark.createDataFrame([c[1:] for c in crowd[:3000]], "_lat DOUBLE, _lon DOUBLE"),
+                          lambda c, k: F.floor(F.col(c) * 4.0 ** k / 5)) >= 2
