@@ -288,3 +288,42 @@ def test_best_chain_against_all_chains():
         from itertools import permutations
         best = max(total(c) for k in range(1, len(segments) + 1) for c in permutations(range(len(segments)), k))
         assert total(substring.best_chains(segments)[0]) == pytest.approx(best)
+
+
+def test_passages_led_by_several_documents(docs_of):
+    """Thirds of a passage come first in documents of their own; each pair with the whole of it must meet."""
+    rnd = random.Random(10)
+    fresh = lambda n: [f"{rnd.getrandbits(40):x}" for _ in range(n)]
+    data = []
+    for g in range(0, 400, 10):
+        passage = fresh(52)
+        data += [(g + 1, " ".join(fresh(30) + passage[:30] + fresh(30))), (g + 2, " ".join(fresh(20) + passage[22:])), (g + 3, " ".join(passage[10:45] + fresh(9))),
+                 (g + 4, " ".join(fresh(25) + passage + fresh(7))), (g + 5, " ".join(passage + fresh(70)))]
+    out = rows(substring.shared_passages(docs_of(data)))
+    assert {(r["doc_id"], r["lead_id"]) for r in out} == {(g + 5, g + 4) for g in range(0, 400, 10)}
+    assert all(r["end_word"] - r["start_word"] == 52 and r["identity"] == 1 for r in out)
+
+
+def test_common_runs_of_fifty_words_meet(docs_of):
+    """Against all pairs: two documents with a run in common are passages of each other, or of one leader that has it."""
+    rnd = random.Random(11)
+    pool = [f"{rnd.getrandbits(40):x}" for _ in range(400)]
+    data = []
+    for i in range(40):
+        words = []
+        for _ in range(rnd.randint(1, 4)):
+            at = rnd.randint(0, 390)
+            words += pool[at:at + rnd.randint(20, 130)] + [f"{rnd.getrandbits(40):x}" for _ in range(rnd.randint(1, 20))]
+        data.append((i, words))
+    windows = {}
+    for i, words in data:
+        for at in range(len(words) - 49):
+            windows.setdefault(tuple(words[at:at + 50]), set()).add(i)
+    links = {(r["doc_id"], r["lead_id"]) for r in rows(substring.shared_passages(docs_of([(i, " ".join(w)) for i, w in data])))}
+    reach = {i: {i} | {b for a, b in links if a == i} for i, _ in data}
+    shared = [h for h in windows.values() if len(h) > 1]
+    assert len(shared) > 100
+    for holders in shared:  # a holder's leaders that hold it too lead on to one document
+        def root(i):
+            return min([i, *(root(b) for b in reach[i] & holders if b < i)])
+        assert len({root(i) for i in holders}) == 1
