@@ -114,3 +114,32 @@ def test_missing_months_do_not_break_the_year(daily_of):
     rows = profiles.monthly_savings(daily_of([(1, "2024-03-01", 10.0)]), 0.5).collect()
     assert len(rows) == 12 and sum(r.savings for r in rows) == 5.0
     assert math.isclose(next(r.savings for r in rows if r.month == 3), 5.0)
+
+
+def test_rolling_figures_without_sliding_frames(spark):
+    nan, far = float("nan"), 1e9
+    values = [None, 5.0, nan, None, 3.0, 3.0, far, far + 0.5, far + 1, None, None, None, -2.0, 0.1, 0.1, 0.1]
+    rows = [(site, "a", i, v, None if v is None or v != v else int(v) + (1 << 60)) for site in (1, 2, None)
+            for i, v in enumerate(values) if site != 2 or i < 5]
+    df = spark.createDataFrame(rows, "site_id BIGINT, tag STRING, i INT, production_kwh DOUBLE, whole BIGINT").selectExpr(
+        "site_id", "tag", "CASE WHEN i > 0 THEN date_add(DATE'2024-01-01', i) END AS day", "production_kwh", "whole")
+    cols, windows, stats = ("production_kwh", "whole"), (1, 3, 7), ("mean", "std", "min", "max")
+    found = W.rolling_stats(df, cols, windows, stats)
+    assert "specifiedwindowframe" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    plain = df.withColumns({f"{c.removesuffix('_kwh')}_rolling_{s}_{n}d": W.ROLLING[s](c).over(W.trailing(n))
+                            for c in cols for n in windows for s in stats})
+    assert found.dtypes == plain.dtypes
+
+    def told(rows):
+        return {(r.site_id, r.day): r.asDict() for r in rows.collect()}
+    a, b = told(found), told(plain)
+    assert a.keys() == b.keys()
+    for key, row in b.items():
+        for name, value in row.items():
+            if name.startswith("whole_rolling_std"):
+                continue  # the readings differ by less than doubles of their size can tell
+            if isinstance(value, float):
+                assert a[key][name] == pytest.approx(value, rel=1e-9, abs=1e-9, nan_ok=True), (key, name)
+            else:
+                assert a[key][name] == value, (key, name)
+    assert W.rolling_stats(df.where("site_id > 9"), cols).count() == 0
