@@ -47,6 +47,38 @@ def test_compare_models_picks_the_lowest_error(spark):
     assert table[0].feature == "x" and table[0].importance == pytest.approx(1.0)
 
 
+def test_trees_grow_on_few_partitions(spark, monkeypatch):
+    seen = []
+
+    class Watched:
+        def __init__(self, pipeline):
+            self.pipeline, self.getStages = pipeline, pipeline.getStages
+
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count(), set(rows.columns)))
+            return self.pipeline.fit(rows)
+
+    df = spark.range(4000).selectExpr("id", "id % 7 AS more", "CAST(id % 50 AS DOUBLE) AS x",
+                                      "CASE WHEN id % 4 > 0 THEN id % 50 * 2D END AS production_kwh")
+    parts = df.repartition(64, "id")
+    M.fit(Watched(M.boosted(["x"], rounds=2)), parts)
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 10)
+    M.fit(Watched(M.boosted(["x"], rounds=2)), parts)
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert seen == [(1, 3000, {"x", "production_kwh"}), (most, 3000, {"x", "production_kwh"})]
+    with pytest.raises(Exception):  # nothing to learn from
+        M.fit(M.boosted(["x"], rounds=2), parts.where("id < 0"))
+
+
+def test_models_are_compared_on_rows_computed_once(noisy, monkeypatch):
+    computed = []
+    monkeypatch.setattr(M, "stored", lambda df, name, old=M.stored: computed.append(name) or old(df, name))
+    scores, _ = M.compare_models(M.share_split(noisy), ["x"], trees=2, rounds=2)
+    assert {(r.model, r.n) for r in scores.collect()} == {(m, 122) for m in ("Linear Regression", "Random Forest", "Gradient Boosting")}
+    _, scored = M.train_forecaster(noisy, ["x"], rounds=2, last_n=10)
+    assert scored.count() == 20 and len(computed) == 2
+
+
 def test_forest_finds_planted_anomalies(noisy):
     scored = An.anomalies(noisy, ["production_kwh", "x"], 0.05, trees=40).persist()
     worst = {(r.site_id, r.production_kwh) for r in An.most_anomalous(scored, 1).collect()}
