@@ -290,6 +290,47 @@ def test_best_chain_against_all_chains():
         assert total(substring.best_chains(segments)[0]) == pytest.approx(best)
 
 
+def test_chains_are_aligned_many_at_a_time():
+    """All chains of a batch at once, against chains aligned one by one."""
+    rnd = random.Random(12)
+
+    def cut(words, start, end):
+        return words[max(0, start):max(0, end)]
+
+    def run(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    def subsequence(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *np.maximum.accumulate([max(row[j + 1], row[j] + (x == y)) for j, y in enumerate(b)]).tolist()]
+        return row[-1]
+    chains, want, sides = [], [], [[], []]
+    for i in range(60):
+        texts = [[rnd.randrange(2 + i % 3) for _ in range(rnd.randint(60, 140))] for _ in range(2)]
+        at, chain = [rnd.randint(0, 40), rnd.randint(0, 40)], []
+        for _ in range(1 + i % 4):
+            n = rnd.randint(1, 12)
+            chain.append((at[0], at[0] + n, at[1], at[1] + n))
+            texts[1][at[1]:at[1] + n] = texts[0][at[0]:at[0] + n]
+            at = [x + n + rnd.choice((0, 0, 1, 3, 9)) for x in at]
+        s, e = chain[0], chain[-1]
+        before = run(cut(texts[0], s[0] - 32, s[0])[::-1], cut(texts[1], s[2] - 32, s[2])[::-1])
+        after = run(cut(texts[0], e[1], e[1] + 32), cut(texts[1], e[3], e[3] + 32))
+        common = sum(x[3] - x[2] for x in chain) + sum(
+            subsequence(cut(texts[0], x[1], y[0]), cut(texts[1], x[3], y[2])) for x, y in zip(chain, chain[1:]))
+        want.append((s[0] - before, e[1] + after, s[2] - before, e[3] + after, common + before + after))
+        chains.append(chain)
+        for side, text in enumerate(texts):
+            low, high = substring.stretches(np.array([0, len(chain)]), np.array([x[2 * side] for x in chain]),
+                                            np.array([x[2 * side + 1] for x in chain]))
+            sides[side] += [np.array(cut(text, a, b), np.int64) for a, b in zip(low.tolist(), high.tolist())]
+    at = np.cumsum([0, *map(len, chains)])
+    words = [(np.cumsum([0, *map(len, x)]), np.concatenate(x)) for x in sides]
+    got = substring.aligned((at, np.array([s for c in chains for s in c])), *words)
+    assert list(zip(*(x.tolist() for x in got))) == want
+
+
 def test_passages_led_by_several_documents(docs_of):
     """Thirds of a passage come first in documents of their own; each pair with the whole of it must meet."""
     rnd = random.Random(10)
