@@ -12,8 +12,8 @@ against the whole sets.
 A list may hold a third of all documents, so candidates are not all pairs of a list. Entries of a
 list are numbered; neighbours at some distances meet first, in an equi-join on (shingle,
 number). Links found join their documents to components, and pairs within a component need no
-look any more. Long lists that still have several components get a pivot, the member that is in
-most long lists, and members are told by their differences from it. Two members whose differences
+look any more. Long lists that still have many members outside their largest component get a pivot, the
+member that is in most such lists, and members are told by their differences from it. Two members whose differences
 are small enough together are similar without a look, and all of those are linked to the member
 with the smallest difference; others can only be similar if the differences share enough
 shingles, so these have prefixes of their own to meet in. Members far from the pivot get another
@@ -47,8 +47,8 @@ SKETCH_BITS = 18
 MATCHES, COST, MOST_MATCHES = 8, 64, 16
 #: Distances at which the neighbours of a list meet, round by round.
 ROUNDS = ((1, 1), (2, 4), (5, 16))
-#: Pivots of a long list, one after the other.
-PIVOTS = 3
+#: Pivots of a long list, one after the other, while more than FEW entries are outside its largest component.
+PIVOTS, FEW = 3, 32
 LIST_PART = 500_000
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -122,7 +122,10 @@ def signatures(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int, shared) -> DataFrame:
-    """rep, m, prefix and tokens (the whole set, rare ones first) for rows of doc, text, m, prefix."""
+    """rep, m, prefix, n and tokens (the whole set, rare ones first) for rows of doc, text, m, prefix.
+
+    n is the size of the set, null if the prefix is that of another text of the document.
+    """
     def ordered(text):
         s = shingle_set(text, words)
         return s[np.lexsort((s, shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))].view(np.int64)
@@ -132,24 +135,30 @@ def full_sets(docs: DataFrame, words: int, shared) -> DataFrame:
             sets = [ordered(t.as_py()) for t in batch.column(1)]
             sizes = np.cumsum([0, *map(len, sets)])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            n = [len(s) if np.array_equal(s[:len(p)], p.values.to_numpy()) else None for s, p in zip(sets, batch.column(3))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3),
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))],
-                names=["rep", "m", "prefix", "tokens"])
+                names=["rep", "m", "prefix", "n", "tokens"])
     return docs.select(F.col("doc").alias("rep"), "text", "m", "prefix").mapInArrow(
-        run, "rep long, m int, prefix array<long>, tokens array<long>")
+        run, "rep long, m int, prefix array<long>, n long, tokens array<long>")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b), those that are similar.
 
-    ``sets`` (rep, m, prefix, tokens) is bucketed by rep, so the pairs go to the sets. Only pairs
-    that share enough of their prefixes take whole sets along.
+    ``sets`` (rep, m, prefix, n, tokens) is bucketed by rep, so the pairs go to the sets. Only pairs
+    that share enough of their prefixes take whole sets along. All prefixes have one order, so two sets share what
+    their prefixes share and, at most, what comes after the last of these in either set.
     """
     def side(name, *columns):
         return sets.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
-    short = pairs.join(side("a", "prefix", "m"), "a").join(side("b", "prefix", "m"), "b").where(
-        F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("m_a", "m_b")).select("a", "b")
+    common = F.array_intersect("prefix_a", "prefix_b")
+    met = pairs.join(side("a", "prefix", "m", "n"), "a").join(side("b", "prefix", "m", "n"), "b").where(
+        F.size(common) >= F.least("m_a", "m_b")).withColumn("common", common).withColumn("last", F.element_at("common", -1))
+    most = F.size("common") + F.least(*(F.col(f"n_{x}") - F.array_position(f"prefix_{x}", F.col("last")) for x in "ab"))
+    enough = F.col("n_a").isNull() | F.col("n_b").isNull() | ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+    short = met.where(enough).select("a", "b")
     both = short.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select(
         "a", "b", F.size("tokens_a").alias("x"), F.size("tokens_b").alias("y"),
         F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common"))
@@ -272,29 +281,38 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     for lo, hi in ROUNDS:
         if longest <= lo:
             break
-        # a list of one component has nothing left to find
-        now = postings.where(F.col("length") > lo).join(labels, "rep")
-        mixed = now.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
-        now = written(now.join(mixed.select("token"), "token", "left_semi"), folder, f"entries-{lo}")
-        if now.isEmpty():
-            longest = 0
-            break
-        left = now.select("token", F.col("rep").alias("a"), F.col("n").alias("x"), F.col("comp").alias("ca"),
-                          F.explode(F.sequence(F.col("at") + lo, F.col("at") + hi)).alias("at"))
-        right = now.select("token", F.col("rep").alias("b"), F.col("n").alias("y"), F.col("comp").alias("cb"), "at")
-        labels = joined(labels, left.join(right, ["token", "at"]).where(
-            (F.col("ca") != F.col("cb")) & sized("x", "y")).select("a", "b"), f"{lo}")
+        now = postings.where(F.col("length") > lo)
+        if (lo, hi) == ROUNDS[0]:
+            now = now.withColumn("comp", F.col("rep"))  # nothing is linked yet
+        else:  # a list of one component has nothing left to find
+            now = now.join(labels, "rep")
+            mixed = now.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
+            now = written(now.join(mixed.select("token"), "token", "left_semi"), folder, f"entries-{lo}")
+            if now.isEmpty():
+                longest = 0
+                break
+        # numbers go to blocks of as many as there are distances, so an entry's neighbours are in two blocks at most
+        block = lambda at: F.floor(at / (hi - lo + 1))
+        left = now.select("token", F.col("rep").alias("a"), F.col("n").alias("x"), F.col("comp").alias("ca"), F.col("at").alias("i"),
+                          F.explode(F.sequence(block(F.col("at") + lo), block(F.col("at") + hi))).alias("block"))
+        right = now.select("token", F.col("rep").alias("b"), F.col("n").alias("y"), F.col("comp").alias("cb"),
+                           F.col("at").alias("j"), block(F.col("at")).alias("block"))
+        labels = joined(labels, left.join(right, ["token", "block"]).where(
+            (F.col("j") - F.col("i")).between(lo, hi) & (F.col("ca") != F.col("cb")) & sized("x", "y")).select("a", "b"), f"{lo}")
     reach = ROUNDS[-1][1]
-    rest = postings.where(F.col("length") > reach + 1).select("token", "rep", "n", "at")
+    rest, few = postings.where(F.col("length") > reach + 1).select("token", "rep", "n", "at"), []
     for step in range(PIVOTS if longest > reach + 1 else 0):
-        lists = rest.groupBy("rep").agg(F.count(F.lit(1)).alias("k"))
-        now = rest.join(labels, "rep").join(lists, "rep")
-        mixed = now.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d"),
-                                         F.max(F.struct("k", "rep")).alias("top")).where("c <> d")
-        now = written(now.join(mixed.select("token", F.col("top.rep").alias("pivot")), "token").drop("k"),
-                      folder, f"entries-pivot{step}")
+        now = rest.join(labels, "rep")
+        parts = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+        outside = parts.groupBy("token").agg((F.sum("k") - F.max("k")).alias("outside")).where("outside > 0")
+        now = written(now.join(outside, "token"), folder, f"entries-long{step}")
+        few.append(now.where(F.col("outside") <= FEW).select("token", "rep", "n", "at"))
+        now = now.where(F.col("outside") > FEW).drop("outside")
+        lists = now.groupBy("rep").agg(F.count(F.lit(1)).alias("k"))
+        tops = now.join(lists, "rep").groupBy("token").agg(F.max(F.struct("k", "rep")).alias("top"))
+        now = written(now.join(tops.select("token", F.col("top.rep").alias("pivot")), "token"), folder, f"entries-pivot{step}")
+        rest = now.select("token", "rep", "n", "at")
         if now.isEmpty():
-            longest = 0
             break
         apart = written(pivot_differences(now, sets, percent), folder, f"apart{step}")
         nearest = apart.groupBy("pivot").agg(F.min(F.struct("far", "rep")).alias("top")).select(
@@ -308,6 +326,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         rest = now.join(apart.where(~F.col("core")).select("pivot", "rep"), ["pivot", "rep"], "left_semi").select(
             "token", "rep", "n", "at")
     if longest > reach + 1:
+        for part in few:
+            rest = rest.unionByName(part)
         now = rest.join(labels, "rep")
         parts = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         largest = parts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))

@@ -248,6 +248,33 @@ def test_ngram_join_of_long_lists(docs_of, monkeypatch, words, percent, pivots):
     assert seen and 10 < len({c for _, c in want.values()}) < 600
 
 
+def test_ngram_join_moves_few_whole_sets(docs_of, monkeypatch):
+    """Lists of documents that share a passage, but little else: no pivots, and few pairs left for the whole sets."""
+    seen, pairs = [], []
+    differences, similar = ngram_join.pivot_differences, ngram_join.similar_pairs
+    monkeypatch.setattr(ngram_join, "pivot_differences", lambda *a: seen.append(1) or differences(*a))
+
+    def with_empty_sets(found, sets, percent):
+        none = sets.withColumn("tokens", F.expr("array(cast(1 as bigint))"))  # what passes the prefixes is similar now
+        pairs.append(similar(found, none, percent).count())
+        return similar(found, sets, percent)
+    monkeypatch.setattr(ngram_join, "similar_pairs", with_empty_sets)
+    rnd = random.Random(13)
+    data, want = [], 0
+    for g in range(4):  # 12 % of the words in common, among them all that the prefixes of near copies would hold
+        passage = [f"p{g}_{i}" for i in range(10)]
+        for i in range(24):
+            own = [f"o{g}_{i}_{j}" for j in range(90)]
+            data.append((len(data), " ".join(passage + own)))
+    for i in range(10):  # near copies are still found
+        own = data[i][1].split()
+        own[50 + i] = "changed"
+        data.append((len(data), " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(ngram_join.near_duplicates(docs_of(data)))}
+    assert got == plain_components(data, 3, 90) and sum(d != c for d, (_, c) in got.items()) == 10
+    assert not seen and sum(pairs) <= 20
+
+
 def test_ngram_join_of_nothing(docs_of):
     assert ngram_join.near_duplicates(docs_of([])).count() == 0
 
