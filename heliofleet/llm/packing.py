@@ -34,6 +34,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Rows of one length that one task numbers, about.
 ROWS_A_SALT = 500_000
+#: Pieces that a worker keeps ids of, and code points that it works on at a time: about 150 MB in all.
+KEPT_PIECES, PART_CHARS = 150_000, 1_000_000
 
 
 class LibraryEncoder:
@@ -52,7 +54,7 @@ class LibraryEncoder:
         self.special = list(special)
         self.library = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.size_of = np.array([len(x) for x in sorted(ranks, key=ranks.get)], np.int64)
-        self.pieces = Pieces(self.encode_pieces)
+        self.pieces = Pieces(self.encode_pieces, most=KEPT_PIECES)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
@@ -94,7 +96,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
         for batch in batches:
             ids, rows, doc, piece, start, length, crc, body = batch.column(0), batch.column(1), [], [], [], [], [], []
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            for k, found in enumerate(enc.pieces.encode_all(texts)):
+            for k, found in enumerate(enc.pieces.encode_all(texts, PART_CHARS)):
                 found += end
                 n = len(found) // 4
                 first = (n - 1) % capacity + 1

@@ -275,6 +275,14 @@ def test_ngram_join_moves_few_whole_sets(docs_of, monkeypatch):
     assert not seen and sum(pairs) <= 20
 
 
+def test_packing_worker_keeps_a_bounded_table():
+    encoder = packing.LibraryEncoder(vocabulary_path())
+    for at in range(0, 400_000, 40_000):
+        text = " ".join(f"w{i}" for i in range(at, at + 40_000))
+        assert len(list(encoder.pieces.encode_all([text]))) == 1
+    assert len(encoder.pieces.ids) < 250_000
+
+
 def test_ngram_join_of_nothing(docs_of):
     assert ngram_join.near_duplicates(docs_of([])).count() == 0
 
