@@ -260,18 +260,18 @@ def test_ngram_join_moves_few_whole_sets(docs_of, monkeypatch):
         return similar(found, sets, percent)
     monkeypatch.setattr(ngram_join, "similar_pairs", with_empty_sets)
     rnd = random.Random(13)
-    data, want = [], 0
-    for g in range(4):  # 12 % of the words in common, among them all that the prefixes of near copies would hold
-        passage = [f"p{g}_{i}" for i in range(10)]
-        for i in range(24):
-            own = [f"o{g}_{i}_{j}" for j in range(90)]
-            data.append((len(data), " ".join(passage + own)))
-    for i in range(10):  # near copies are still found
+    common = [[f"c{k}_{i}" for i in range(30)] for k in range(60)]
+    data = []
+    for g in range(4):  # the group's passage is rarer than the others, so the prefixes of its documents hold it
+        passage = [f"p{g}_{i}" for i in range(80)]
+        for _ in range(24):
+            data.append((len(data), " ".join(passage + [w for k in rnd.sample(range(60), 20) for w in common[k]])))
+    for i in (0, 30, 60, 90):  # near copies are still found
         own = data[i][1].split()
-        own[50 + i] = "changed"
+        own[300] = "changed"
         data.append((len(data), " ".join(own)))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(ngram_join.near_duplicates(docs_of(data)))}
-    assert got == plain_components(data, 3, 90) and sum(d != c for d, (_, c) in got.items()) == 10
+    assert got == plain_components(data, 3, 90) and sum(d != c for d, (_, c) in got.items()) == 4
     assert not seen and sum(pairs) <= 20
 
 
