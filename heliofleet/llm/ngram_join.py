@@ -11,7 +11,7 @@ against the whole sets.
 
 A list may hold a third of all documents, so candidates are not all pairs of a list. Entries of a
 list are numbered; neighbours at some distances meet first, in an equi-join on (shingle,
-number). Links found join their documents to components, and pairs within a component need no
+number); the very next one comes along when a list is numbered. Links found join their documents to components, and pairs within a component need no
 look any more. Long lists that still have many members outside their largest component get a pivot, the
 member that is in most such lists, and members are told by their differences from it. Two members whose differences
 are small enough together are similar without a look, and all of those are linked to the member
@@ -35,13 +35,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import bounded_batches, id_key, salted_rank, table, texts_of, work_folder, written
 from .components import components
 
 #: Entries of the count table.
 SKETCH_BITS = 18
+#: Tables of fixed size are added up and sent in so many parts.
+TABLE_PARTS = 64
+#: Slots for each key of a table of marks, and the logarithm of the most slots.
+MARKS_EACH, MARK_BITS = 16, 26
 #: A document's m starts at MATCHES and goes up by one with each doubling of its estimated
 #: candidates beyond COST, to MOST_MATCHES; it never exceeds the shingles it must share.
 MATCHES, COST, MOST_MATCHES = 8, 64, 16
@@ -65,7 +69,14 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     for i in range(k):
         out = (out ^ (out >> np.uint64(29))) * MIX[0] + h[i:n - k + 1 + i] * MIX[1]
     out ^= out >> np.uint64(32)
-    return np.unique(out * MIX[2])
+    out *= MIX[2]
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+
+
+def rare_first(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The order of the sorted set ``s`` by the counts ``often``, equal ones as in ``s``."""
+    return np.argsort(often, kind="stable")
 
 
 def count_table(docs: DataFrame, words: int) -> np.ndarray:
@@ -73,17 +84,71 @@ def count_table(docs: DataFrame, words: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                entry = (shingle_set(t.as_py(), words) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                np.add.at(total, entry, 1)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())],
-                                         names=["entry", "n"])
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    rows = docs.select("text").mapInArrow(count, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    for r in rows.toLocalIterator():  # at most 2**SKETCH_BITS rows
-        out[r.entry] = r.n
-    return out
+            found = [shingle_set(t.as_py(), words) >> np.uint64(64 - SKETCH_BITS) for t in batch.column(0)]
+            if found:
+                total += np.bincount(np.concatenate(found).astype(np.int64), minlength=len(total))
+        yield parts_of(enumerate(total.reshape(TABLE_PARTS, -1)))
+
+    out = np.zeros((TABLE_PARTS, (1 << SKETCH_BITS) // TABLE_PARTS), np.int64)
+    rows = docs.select("text").mapInArrow(count, PART_SCHEMA).repartition("part").mapInArrow(added_up, PART_SCHEMA)
+    for r in rows.collect():  # a table of fixed size
+        out[r.part] += np.frombuffer(r.cells, np.int64)
+    return out.reshape(-1)
+
+
+PART_SCHEMA = "part int, cells binary"
+
+
+def parts_of(parts) -> pa.RecordBatch:
+    parts = list(parts)
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()),
+                                       pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["part", "cells"])
+
+
+def added_up(batches):
+    """Sums of the parts (part, cells) of count tables."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
+            sums[part] = sums.get(part, 0) + np.frombuffer(cells.as_py(), np.int64)
+    yield parts_of(sums.items())
+
+
+def mark_slot(*key, slots: int):
+    return F.pmod(F.xxhash64(*key), F.lit(slots))
+
+
+def marks(keys: DataFrame, *key) -> tuple[np.ndarray, int]:
+    """A table of bits, one of which is set for each key, and its number of slots, which is bounded."""
+    n = keys.count()
+    slots = 1 << min(max(MARKS_EACH * n, 1 << 12).bit_length(), MARK_BITS)
+    size = slots // TABLE_PARTS
+
+    def mark(batches):
+        tables: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for part in np.unique(at // size):
+                here = tables.setdefault(int(part), np.zeros(size, bool))
+                here[at[at // size == part] % size] = True
+        yield parts_of((part, np.packbits(here)) for part, here in tables.items())
+
+    out = np.zeros((TABLE_PARTS, size // 8), np.uint8)
+    at = keys.select(mark_slot(*key, slots=slots).alias("at"))
+    for r in at.repartition(F.floor(F.col("at") / size)).mapInArrow(mark, PART_SCHEMA).collect():  # of bounded size
+        out[r.part] |= np.frombuffer(r.cells, np.uint8)
+    return out.reshape(-1), slots
+
+
+def marked(spark: SparkSession, table: tuple[np.ndarray, int], *key):
+    """Whether a row may have one of the keys of ``table``; true of all that have, and of few others."""
+    bits, slots = spark.sparkContext.broadcast(table[0]), table[1]
+
+    @F.arrow_udf("boolean")
+    def test(at: pa.Array) -> pa.Array:
+        x = at.to_numpy()
+        return pa.array((bits.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1)
+    return test(mark_slot(*key, slots=slots))
 
 
 def needed(n, percent: int):
@@ -102,7 +167,7 @@ def signatures(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
                 s = shingle_set(t.as_py(), words)
                 n = len(s)
                 often = shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.lexsort((s, often))
+                order = rare_first(s, often)
                 need = needed(n, percent)
                 p = n - need + 1 if n else 0
                 cost = int(np.maximum(often[order[:p]] - noise, 0).sum())
@@ -122,13 +187,13 @@ def signatures(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int, shared) -> DataFrame:
-    """rep, m, prefix, n and tokens (the whole set, rare ones first) for rows of doc, text, m, prefix.
+    """rep, m, prefix, hint, n and tokens (the whole set, rare ones first) for rows of doc, text, m, prefix, hint.
 
     n is the size of the set, null if the prefix is that of another text of the document.
     """
     def ordered(text):
         s = shingle_set(text, words)
-        return s[np.lexsort((s, shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))].view(np.int64)
+        return s[rare_first(s, shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])].view(np.int64)
 
     def run(batches):
         for batch in batches:
@@ -137,22 +202,27 @@ def full_sets(docs: DataFrame, words: int, shared) -> DataFrame:
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             n = [len(s) if np.array_equal(s[:len(p)], p.values.to_numpy()) else None for s, p in zip(sets, batch.column(3))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()),
+                [batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(n, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))],
-                names=["rep", "m", "prefix", "n", "tokens"])
-    return docs.select(F.col("doc").alias("rep"), "text", "m", "prefix").mapInArrow(
-        run, "rep long, m int, prefix array<long>, n long, tokens array<long>")
+                names=["rep", "m", "prefix", "hint", "n", "tokens"])
+    return docs.select(F.col("doc").alias("rep"), "text", "m", "prefix", "hint").mapInArrow(
+        run, "rep long, m int, prefix array<long>, hint array<short>, n long, tokens array<long>")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b), those that are similar.
 
-    ``sets`` (rep, m, prefix, n, tokens) is bucketed by rep, so the pairs go to the sets. Only pairs
-    that share enough of their prefixes take whole sets along. All prefixes have one order, so two sets share what
-    their prefixes share and, at most, what comes after the last of these in either set.
+    ``sets`` (rep, m, prefix, hint, n, tokens) is bucketed by rep, so the pairs go to the sets. Only pairs
+    that may share enough by their hints, 16 bits of each shingle of the prefix that others have too, take prefixes
+    along, and only those that share enough of their prefixes take whole sets. All prefixes have one order, so two sets
+    share what their prefixes share and, at most, what comes after the last of these in either set.
     """
     def side(name, *columns):
         return sets.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+    # shingles of a whose 16 bits b lacks are not in b
+    most_common = F.size("hint_a") - F.size(F.array_except("hint_a", "hint_b"))
+    pairs = pairs.join(side("a", "hint", "m"), "a").join(side("b", "hint", "m"), "b").where(
+        most_common >= F.least("m_a", "m_b")).select("a", "b")
     common = F.array_intersect("prefix_a", "prefix_b")
     met = pairs.join(side("a", "prefix", "m", "n"), "a").join(side("b", "prefix", "m", "n"), "b").where(
         F.size(common) >= F.least("m_a", "m_b")).withColumn("common", common).withColumn("last", F.element_at("common", -1))
@@ -231,28 +301,43 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     docs = texts_of(docs)
     shared_counts = spark.sparkContext.broadcast(count_table(docs, words))  # of fixed size
     signed = written(signatures(docs, words, percent, shared_counts), folder, "signatures")
-    classes = signed.where(F.col("n") > 0).groupBy("sig", "n").agg(
-        F.min(F.struct("doc", "p", "m", "prefix")).alias("r"))
-    reps = written(classes.select("sig", "n", F.col("r.doc").alias("rep"), "r.p", "r.m", "r.prefix"), folder, "classes")
+    signed_sets = signed.where(F.col("n") > 0)
+    # only sets that several documents may have are gathered, with their prefixes
+    copied = signed_sets.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    several = marked(spark, marks(copied, "sig", "n"), "sig", "n")
+    told = signed_sets.withColumn("several", several)
+    classes = told.where("several").groupBy("sig", "n").agg(
+        F.min(F.struct("doc", "p", "m", "prefix")).alias("r")).select("sig", "n", F.col("r.doc").alias("rep"), "r.p", "r.m", "r.prefix")
+    reps = written(classes.unionByName(told.where("NOT several").select("sig", "n", F.col("doc").alias("rep"), "p", "m", "prefix")),
+                   folder, "classes")
     # two classes with one smallest document (rows that share a doc_id) are one node: the id
     entries = reps.select("rep", "n", "p", F.posexplode("prefix").alias("at", "token")).select(
         "rep", "n", "token", (F.col("at") < F.col("p")).alias("one"))
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("one").cast("long")).alias("length"))
-    lists = lists.where(F.col("all") > 1).select("token", "length")
-    shared = written(entries.join(lists, "token"), folder, "shared")
-    longest = shared.agg(F.max("length")).first()[0] or 0
+    lists = Window.partitionBy("token")
+    shared = entries.withColumn("all", F.count(F.lit(1)).over(lists)).withColumn(
+        "length", F.sum(F.col("one").cast("long")).over(lists)).where("all > 1").drop("all")
     # a similar document has at least percent**2 of n shingles to share, so its m is this at least
     least = F.greatest(F.lit(1), F.least(F.lit(MATCHES), F.floor(percent * percent * F.col("n") / 10000)))
-    hopeful = shared.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("rep")
-    shared = shared.where(F.col("one") & (F.col("length") > 1)).join(hopeful, "rep", "left_semi").select(
-        "rep", "n", "token", "length")
-    postings = written(salted_rank(shared, ["token"], ["n", "rep"], -(-max(longest, 1) // LIST_PART), "at"),
-                       folder, "postings")
-    involved = postings.select(F.col("rep").alias("doc")).distinct()
+    hopeful = written(shared.groupBy("rep").agg(F.min("n").alias("n"), F.collect_list(F.struct("n", "token", "one", "length")).alias("shared"))
+                      .where(F.size("shared") >= least), folder, "shared")
+    listed = hopeful.select("rep", F.explode(F.filter("shared", lambda x: x.one & (x.length > 1))).alias("x")).select(
+        "rep", "x.n", "x.token", "x.length")
+    longest = listed.agg(F.max("length")).first()[0] or 0
+    list_parts = -(-max(longest, 1) // LIST_PART)
+    ranked = salted_rank(listed, ["token"], ["n", "rep"], list_parts, "at")
+    if list_parts == 1:  # the next of the list comes along
+        follows = Window.partitionBy("token").orderBy("n", "rep")
+        ranked = ranked.withColumn("next", F.lead(F.struct("rep", "n")).over(follows))
+    postings = written(ranked, folder, "postings")
+    # 16 bits of each shingle, from others than the count table takes
+    hints = F.transform("shared", lambda x: F.shiftright(F.shiftleft(x.token, 32), 48).cast("short"))
+    involved = written(hopeful.where(F.exists("shared", lambda x: x.one & (x.length > 1))).select(
+        F.col("rep").alias("doc"), hints.alias("hint")), folder, "involved")
     # of rows that share a doc_id, one text stands for the id
-    short = reps.groupBy(F.col("rep").alias("doc")).agg(F.min(F.struct("m", "prefix")).alias("r")).join(
-        involved, "doc", "left_semi").select("doc", "r.m", "r.prefix")
-    bodies = docs.select(id_key().alias("doc"), "text").join(short, "doc").dropDuplicates(["doc"])
+    wanted = marks(involved, "doc")
+    short = reps.where(marked(spark, wanted, "rep")).groupBy(F.col("rep").alias("doc")).agg(
+        F.min(F.struct("m", "prefix")).alias("r")).join(involved, "doc").select("doc", "r.m", "r.prefix", "hint")
+    bodies = docs.select(id_key().alias("doc"), "text").where(marked(spark, wanted, "doc")).join(short, "doc").dropDuplicates(["doc"])
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"sets_{folder.rsplit('-', 1)[-1]}"
     # the join has dealt the texts by the same key, so every bucket is written by one task
@@ -282,6 +367,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         if longest <= lo:
             break
         now = postings.where(F.col("length") > lo)
+        if (lo, hi) == (1, 1) and list_parts == 1:
+            pairs = now.select(F.col("rep").alias("a"), F.col("n").alias("x"), F.col("next.rep").alias("b"), F.col("next.n").alias("y"))
+            labels = joined(labels, pairs.where((F.col("a") != F.col("b")) & sized("x", "y")).select("a", "b"), f"{lo}")
+            continue
         if (lo, hi) == ROUNDS[0]:
             now = now.withColumn("comp", F.col("rep"))  # nothing is linked yet
         else:  # a list of one component has nothing left to find

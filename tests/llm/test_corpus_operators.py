@@ -283,6 +283,37 @@ def test_packing_worker_keeps_a_bounded_table():
     assert len(encoder.pieces.ids) < 250_000
 
 
+def test_ngram_join_moves_texts_that_share_shingles_only(docs_of, monkeypatch):
+    bodies, full = [], ngram_join.full_sets
+    monkeypatch.setattr(ngram_join, "full_sets", lambda docs, *a: bodies.append(docs) or full(docs, *a))
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(1, text), (2, text + " end")] + [(i, " ".join(f"v{i}x{j}" for j in range(60))) for i in range(3, 300)]
+    docs = docs_of(data)
+    assert docs.where(ngram_join.marked(docs.sparkSession, ngram_join.marks(docs.limit(2), "doc_id"), "doc_id")).count() < 10
+    got = {r["doc_id"]: r["component_id"] for r in rows(ngram_join.near_duplicates(docs))}
+    assert got == {1: 1, 2: 1} | {i: i for i in range(3, 300)}
+    assert {r["doc"] for r in rows(bodies[0].select("doc"))} == {1, 2}
+    # the texts are filtered before they are dealt by document
+    plan = bodies[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and plan.count("Window") == 0
+
+
+def test_ngram_join_hints_rule_out_pairs_before_prefixes_move(docs_of, monkeypatch):
+    """Pairs that share a few shingles are told apart by their hints."""
+    def passed(pairs, sets, percent, similar=ngram_join.similar_pairs):
+        # whatever gets past the hints is similar here
+        blind = sets.withColumns({"prefix": F.expr("sequence(1L, 50L)"), "n": F.lit(None).cast("long"), "tokens": F.expr("array(1L)")})
+        seen.append((pairs.count(), similar(pairs, blind, percent).count()))
+        return similar(pairs, sets, percent)
+    seen: list[tuple[int, int]] = []
+    monkeypatch.setattr(ngram_join, "similar_pairs", passed)
+    # each has 20 words in common with each of many others, and never enough with one of them
+    data = [(i, " ".join(f"a{min(i, j)}b{max(i, j)}c{k}" for j in range(12) if j != i for k in range(20))) for i in range(12)]
+    got = {r["doc_id"]: r["component_id"] for r in rows(ngram_join.near_duplicates(docs_of(data)))}
+    assert got == {i: i for i in range(12)}
+    assert sum(n for n, _ in seen) >= 3 and sum(n for _, n in seen) <= 1
+
+
 def test_ngram_join_of_nothing(docs_of):
     assert ngram_join.near_duplicates(docs_of([])).count() == 0
 
