@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import bounded_batches, id_key, salted_rank, table, texts_of, work_folder, written
+from .common import bounded_batches, id_key, no_broadcast_joins, salted_rank, table, texts_of, work_folder, written
 from .components import components
 
 #: Entries of the count table.
@@ -295,6 +295,11 @@ def similar_by_differences(pairs: DataFrame, balls: DataFrame, percent: int) ->
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    with no_broadcast_joins(docs.sparkSession):
+        return _near_duplicates(docs, words, percent)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = work_folder(spark, "ngram")

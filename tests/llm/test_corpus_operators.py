@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from heliofleet.llm import bpe, chat, exact_dedup, language, line_dedup, ngram_join, packing, secrets, substring, topk
+from heliofleet.llm import bpe, chat, components, exact_dedup, language, line_dedup, ngram_join, packing, secrets, substring, topk
 from heliofleet.llm.words import vocabulary_path
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -283,6 +283,25 @@ def test_packing_worker_keeps_a_bounded_table():
     assert len(encoder.pieces.ids) < 250_000
 
 
+def test_ngram_join_sends_no_table_through_the_driver(docs_of, monkeypatch):
+    plans, write = [], ngram_join.written
+
+    def noted(df, folder, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, folder, name)
+    monkeypatch.setattr(ngram_join, "written", noted)
+    monkeypatch.setattr(components, "written", noted)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = docs_of([(1, text), (2, text + " end"), (3, text), (4, "another one"), (None, None)])
+    spark = docs.sparkSession
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    got = {r["doc_id"]: r["component_id"] for r in rows(ngram_join.near_duplicates(docs))}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, None: None}
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert spark.conf.get(name) == before
+
+
 def test_ngram_join_moves_texts_that_share_shingles_only(docs_of, monkeypatch):
     bodies, full = [], ngram_join.full_sets
     monkeypatch.setattr(ngram_join, "full_sets", lambda docs, *a: bodies.append(docs) or full(docs, *a))
