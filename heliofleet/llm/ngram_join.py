@@ -313,9 +313,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     # two classes with one smallest document (rows that share a doc_id) are one node: the id
     entries = reps.select("rep", "n", "p", F.posexplode("prefix").alias("at", "token")).select(
         "rep", "n", "token", (F.col("at") < F.col("p")).alias("one"))
+    # an entry whose next smaller and next larger set of the list are too different in size meets nobody there
     lists = Window.partitionBy("token")
-    shared = entries.withColumn("all", F.count(F.lit(1)).over(lists)).withColumn(
-        "length", F.sum(F.col("one").cast("long")).over(lists)).where("all > 1").drop("all")
+    fits = (100 * F.lag("n").over(lists.orderBy("n")) >= percent * F.col("n")) | (
+        100 * F.col("n") >= percent * F.lead("n").over(lists.orderBy("n")))
+    shared = entries.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn(
+        "length", F.sum(F.col("one").cast("long")).over(lists)).where("fits").drop("fits")
     # a similar document has at least percent**2 of n shingles to share, so its m is this at least
     least = F.greatest(F.lit(1), F.least(F.lit(MATCHES), F.floor(percent * percent * F.col("n") / 10000)))
     hopeful = written(shared.groupBy("rep").agg(F.min("n").alias("n"), F.collect_list(F.struct("n", "token", "one", "length")).alias("shared"))

@@ -314,6 +314,25 @@ def test_ngram_join_hints_rule_out_pairs_before_prefixes_move(docs_of, monkeypat
     assert sum(n for n, _ in seen) >= 3 and sum(n for _, n in seen) <= 1
 
 
+def test_ngram_join_drops_entries_that_fit_nobody_in_size(docs_of, monkeypatch):
+    """Lists of a long document and a passage of it hold no pair; such entries go before anything else moves."""
+    kept, write = {}, ngram_join.written
+
+    def noted(df, folder, name):
+        kept[name] = write(df, folder, name)
+        return kept[name]
+    monkeypatch.setattr(ngram_join, "written", noted)
+    data = []
+    for i in range(12):
+        words = [f"v{i}x{j}" for j in range(400)]
+        data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:300]))]
+    assert {r["component_id"] for r in rows(ngram_join.near_duplicates(docs_of(data)))} == set(range(24))
+    assert kept["shared"].count() == 0
+    # sizes at the very limit still meet: 9 of 10 shingles
+    got = rows(ngram_join.near_duplicates(docs_of([(1, " ".join(map(str, range(12)))), (2, " ".join(map(str, range(11))))])))
+    assert {r["component_id"] for r in got} == {1} and kept["shared"].count() == 2
+
+
 def test_ngram_join_of_nothing(docs_of):
     assert ngram_join.near_duplicates(docs_of([])).count() == 0
 
