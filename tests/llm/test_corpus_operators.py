@@ -352,6 +352,29 @@ def test_shared_passages(docs_of):
     assert substring.shared_passages(docs_of([])).count() == 0
 
 
+def test_passages_end_where_words_differ(docs_of):
+    """Runs of one diagonal are aligned as well, and ends move on as long as words are equal."""
+    rnd = random.Random(13)
+    fresh = lambda n: [f"{rnd.getrandbits(40):x}" for _ in range(n)]
+    data, want = [], set()
+    for g in range(0, 200, 10):
+        n, s, t = rnd.randint(52, 130), rnd.randint(0, 40), rnd.randint(0, 40)
+        passage = fresh(n)
+        data += [(g, " ".join(fresh(s) + passage + fresh(5))), (g + 1, " ".join(fresh(t) + passage + fresh(9)))]
+        want.add((g + 1, t, t + n, g, s, s + n, 1.0))
+        # an earlier document leads the seeds of 44 of 100 words, more than a margin
+        whole = fresh(100)
+        data += [(g + 2, " ".join(fresh(9) + whole[56:] + fresh(3))), (g + 3, " ".join(whole + fresh(20))), (g + 4, " ".join(fresh(4) + whole))]
+        want.add((g + 4, 4, 104, g + 3, 0, 100, 1.0))
+        # a word differs where no seed need hold it
+        other = list(whole := fresh(160))
+        other[75 + g // 20] = "other"
+        data += [(g + 5, " ".join(whole)), (g + 6, " ".join(other))]
+        want.add((g + 6, 0, 160, g + 5, 0, 160, 159 / 160))
+    out = rows(substring.shared_passages(docs_of(data)))
+    assert {tuple(r[c] for c in ("doc_id", "start_word", "end_word", "lead_id", "lead_start", "lead_end", "identity")) for r in out} == want
+
+
 def test_best_chain_against_all_chains():
     rnd = random.Random(6)
     for _ in range(100):
