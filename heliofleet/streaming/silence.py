@@ -1,8 +1,9 @@
 """Alerts for sites that fall silent, raised by event-time timers over keyed state.
 
 A site's state holds its open runs of readings: normally one, more only while late rows may
-still join them. Each run has a timer at its last reading plus the allowed silence; the alert
-comes when the watermark passes it, whether or not the site ever reports again. The
+still join them. A site has one timer, at the last reading of its first run plus the allowed silence.
+When the watermark passes it, whether or not the site ever reports again, all runs that the
+watermark has passed give their alerts at once, and the timer moves on to the first one left. The
 clock of the stream can be moved by heartbeats, rows with a time and no site, so that sites
 are found silent even when no other site reports.
 """
@@ -42,7 +43,7 @@ def silence_processor(silence_ms: int):
             if key[0] is None:  # a heartbeat has moved the watermark, which is all it is for
                 return iter(())
             runs, before = self._load()
-            ends = {r[1] for r in runs}
+            timer = runs[0][1] if runs else None
             runs += [[ms, ms, 1] for ms in (r.ms for r in rows)]
             runs.sort()
             joined = []
@@ -52,22 +53,26 @@ def silence_processor(silence_ms: int):
                     joined[-1][2] += run[2]
                 else:
                     joined.append(run)
-            now = {r[1] for r in joined}
-            for end in ends - now:
-                self.handle.deleteTimer(end + silence_ms)
-            for end in now - ends:
-                self.handle.registerTimer(end + silence_ms)
+            if timer != joined[0][1]:
+                if timer is not None:
+                    self.handle.deleteTimer(timer + silence_ms)
+                self.handle.registerTimer(joined[0][1] + silence_ms)
             self._store(joined, before)
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             runs, before = self._load()
-            due = expiredTimerInfo.getExpiryTimeInMs()
-            for run in [r for r in runs if r[1] + silence_ms <= due]:
+            due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+            at = 0  # runs are in order and apart, so their ends are in order too
+            while at < len(runs) and runs[at][1] + silence_ms <= due:
+                run = runs[at]
                 gap = None if before is None else (run[0] - before) // 1000
                 yield Row(site=key[0], first=run[0], last=run[1], n=run[2], gap=gap)
                 before = run[1]
-            self._store([r for r in runs if r[1] + silence_ms > due], before)
+                at += 1
+            if at < len(runs):
+                self.handle.registerTimer(runs[at][1] + silence_ms)
+            self._store(runs[at:], before)
 
         def close(self):
             pass
@@ -107,18 +112,24 @@ class SilenceWatch:
 
     def run(self) -> DataFrame:
         """Process what has come since the last call; all alerts so far."""
-        setting = "spark.sql.streaming.stateStore.providerClass"
-        before = self.spark.conf.get(setting, None)
-        self.spark.conf.set(setting, ROCKS)  # timers need it; a query takes the setting at its start
+        # timers need this store; each of its partitions has a cost of its own in every batch. A query takes
+        # both settings at its start, and the number of partitions from its checkpoint later on
+        most = 2 * self.spark.sparkContext.defaultParallelism
+        settings = {"spark.sql.streaming.stateStore.providerClass": ROCKS,
+                    "spark.sql.shuffle.partitions": str(min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), most))}
+        before = {key: self.spark.conf.get(key, None) for key in settings}
+        for key, value in settings.items():
+            self.spark.conf.set(key, value)
         try:
             query = (self.alerts.writeStream.format("parquet").outputMode("append")
                      .option("checkpointLocation", self.path + "-checkpoint").trigger(availableNow=True).start(self.path))
             query.awaitTermination()
         finally:
-            if before is None:
-                self.spark.conf.unset(setting)
-            else:
-                self.spark.conf.set(setting, before)
+            for key, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(key)
+                else:
+                    self.spark.conf.set(key, value)
         return self.spark.read.schema(OUTPUT).parquet(self.path)
 
     def beat(self, at) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from heliofleet.schema import INTERVAL_SCHEMA
 from heliofleet.streaming import live
 from heliofleet.streaming.batch_log import BatchLog
-from heliofleet.streaming.silence import SilenceWatch
+from heliofleet.streaming.silence import SilenceWatch, silence_processor
 
 START = datetime(2024, 1, 1)
 
@@ -55,6 +55,50 @@ def test_a_silent_site_alerts_by_timer(spark, tmp_path):
     assert [(r.site_id, r.readings) for r in last] == [(1, 1)]  # no site reports any more
 
 
+def test_a_site_has_one_timer_however_many_runs_are_open():
+    class Values:
+        def exists(self):
+            return hasattr(self, "held")
+
+        def get(self):
+            return self.held
+
+        def update(self, held):
+            self.held = held
+
+    class Handle:
+        timers, calls = set(), 0
+
+        def getValueState(self, *_):
+            return Values()
+
+        def registerTimer(self, ms):
+            self.timers.add(ms)
+            self.calls += 1
+
+        def deleteTimer(self, ms):
+            self.timers.discard(ms)
+            self.calls += 1
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    class Reading:
+        def __init__(self, ms):
+            self.ms = ms
+    site, handle = silence_processor(1000), Handle()
+    site.init(handle)
+    list(site.handleInputRows((7,), iter([Reading(5000 * i) for i in reversed(range(500))]), None))
+    assert handle.timers == {1000} and handle.calls == 1
+    out = list(site.handleExpiredTimer((7,), At(5000 * 300), At(1000)))
+    assert [r["first"] for r in out] == [5000 * i for i in range(300)] and out[0].gap is None and {r.gap for r in out[1:]} == {5}
+    assert handle.calls == 2 and 5000 * 300 + 1000 in handle.timers
+    list(site.handleInputRows((7,), iter([Reading(5000 * 300 + 900)]), None))  # a late row joins the first open run
+    assert 5000 * 300 + 1900 in handle.timers and 5000 * 300 + 1000 not in handle.timers
+    assert len(list(site.handleExpiredTimer((7,), At(5000 * 500), At(5000 * 300 + 1900)))) == 200
+
+
 @pytest.mark.parametrize("files", [1, 2, 6])
 def test_rollup_is_complete_and_late_rows_correct_it(spark, tmp_path, files):
     rows = [(s, 60 * h, float(h % 7)) for h in range(0, 75) for s in (1, 2)]
