@@ -2,7 +2,8 @@
 
 A score is the sum of SEGMENTS partial scores, one for each segment of the vector's components,
 so for every query there is a score list per segment. Candidates lie in blocks; a block holds
-its part of all lists, and query blocks meet candidate blocks in an equi-join on the block.
+its part of all lists. Groups of query blocks meet groups of candidate blocks, as many at a time as
+GROUP_BYTES hold, so a block is copied once for each group of the other side. Nothing is broadcast.
 
 1. Each pair of blocks gathers, per query and segment, the k best entries of its lists, with
    their totals, and the smallest partial score of each segment. The k-th best total found
@@ -35,6 +36,8 @@ from .common import bounded_batches, table, work_folder, written
 SEGMENTS = 4
 BLOCK = 2048
 QUERY_BLOCK = 512
+#: Components of a group of blocks, in bytes; one block at least.
+GROUP_BYTES = 16 << 20
 #: Up to here doubles hold all integers.
 EXACT = 2.0 ** 53
 #: Scaled components saturate here, and scores at the bounds of a long.
@@ -42,6 +45,10 @@ MOST = 2.0 ** 26
 LONGS = -(1 << 63), (1 << 63) - 1
 
 
+LISTS = pa.schema([("query_id", pa.int64()), ("lows", pa.list_(pa.float64())), ("best", pa.list_(pa.int64()))])
+SCORED = pa.schema([(x, pa.int64()) for x in ("query_id", "vec_id", "score")])
+
+
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -86,6 +93,26 @@ def unpack(rows: pa.Table, name: str):
     return ids, np.frombuffer(rows.column(f"{name}_values")[0].as_py(), "<f8").reshape(len(ids), -1)
 
 
+def blocks_of(rows: pa.Table, name: str):
+    for i in range(rows.num_rows):
+        yield unpack(rows.slice(i, 1), name)
+
+
+def best_totals(qi: np.ndarray, ci: np.ndarray, parts: list, k: int) -> list[list[int]]:
+    """For each query the k best totals of the candidates among the k best of a segment."""
+    total, own, n = sum(parts), ci[None, :] == qi[:, None], len(ci)
+    at = []
+    for p in parts:
+        row = -p.astype(float)
+        row[own] = np.inf
+        at.append(np.argpartition(row, min(k, n) - 1, axis=1)[:, :k])
+    at = np.sort(np.concatenate(at, axis=1), axis=1)
+    fresh = np.concatenate((np.ones((len(qi), 1), bool), at[:, 1:] != at[:, :-1]), axis=1)
+    fresh &= ~np.take_along_axis(own, at, axis=1)
+    found = np.take_along_axis(total, at, axis=1)
+    return [sorted(map(as_long, f[x].tolist()), reverse=True)[:k] for f, x in zip(found, fresh)]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of ``vectors`` for each row of ``queries``.
 
@@ -96,33 +123,38 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0)
     folder = work_folder(spark, "topk")
     vectors, queries = valid_vectors(vectors), valid_vectors(queries)
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    sizes = vectors.agg(F.count(F.lit(1)).alias("n")).first().n, queries.agg(F.count(F.lit(1)).alias("n")).first().n
-    blocks, query_blocks = (-(-max(1, n) // b) for n, b in zip(sizes, (BLOCK, QUERY_BLOCK)))
+    (n, width), (n_queries, query_width) = (
+        df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first() for df in (vectors, queries))
+    blocks, query_blocks = -(-max(1, n) // BLOCK), -(-max(1, n_queries) // QUERY_BLOCK)
     cand = written(packed(vectors, blocks, scale, "c"), folder, "candidates")
     query = written(packed(queries, query_blocks, scale, "q"), folder, "queries")
-    meet = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("c")
-
-    def gather(rows):
-        (qi, q), (ci, c) = unpack(rows, "q"), unpack(rows, "c")
-        parts = scores(q, c)
-        total = sum(parts)
-        lows, best = [p.min(axis=1) for p in parts], []
-        n = len(ci)
-        for i in range(len(qi)):
-            own = ci == qi[i]
-            listed = set()
-            for p in parts:
-                row = p[i].astype(float)
-                row[own] = -np.inf
-                listed.update(np.argpartition(-row, min(k, n - 1))[:k].tolist())
-            best.append(sorted((as_long(total[i][j]) for j in listed if not own[j]), reverse=True)[:k])
-        return pa.table({"query_id": qi, "lows": pa.array([[float(x[i]) for x in lows] for i in range(len(qi))],
-                                                           pa.list_(pa.float64())),
-                         "best": pa.array(best, pa.list_(pa.int64()))})
-
-    pairs = query.select("*", meet).join(cand, "c")
-    lists = written(pairs.groupBy("q", "c").applyInArrow(gather, "query_id long, lows array<double>, best array<long>"),
-                    folder, "lists")
+    room = GROUP_BYTES // (8 * max(1, width, query_width))
+    # a few groups for each core, while there are so few
+    each = max(1, min(room // BLOCK, -(-blocks // (4 * spark.sparkContext.defaultParallelism))))
+    query_each = max(1, room // QUERY_BLOCK)
+
+    def meeting(query):
+        """Groups of query blocks with groups of candidate blocks, side by side."""
+        def dealt(df, mine, size, other, groups):
+            every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+            return df.select("*", F.floor(F.col(mine[0]) / size).alias(mine), every.alias(other)).groupBy("qs", "cs")
+        return dealt(query, "qs", query_each, "cs", -(-blocks // each)).cogroup(
+            dealt(cand, "cs", each, "qs", -(-query_blocks // query_each)))
+
+    def gather(asked, held):
+        out = []
+        for qi, q in blocks_of(asked, "q"):
+            lows, best = np.full((len(qi), SEGMENTS), np.inf), [[] for _ in qi]
+            for ci, c in blocks_of(held, "c"):
+                parts = scores(q, c)
+                lows = np.minimum(lows, np.array([p.min(axis=1) for p in parts], float).T)
+                best = [sorted(a + b, reverse=True)[:k] for a, b in zip(best, best_totals(qi, ci, parts, k))]
+            if held.num_rows:
+                out.append(pa.table({"query_id": qi, "lows": pa.array(lows.tolist(), pa.list_(pa.float64())),
+                                     "best": pa.array(best, pa.list_(pa.int64()))}))
+        return pa.concat_tables(out) if out else LISTS.empty_table()
+
+    lists = written(meeting(query).applyInArrow(gather, "query_id long, lows array<double>, best array<long>"), folder, "lists")
     kth = Window.partitionBy("query_id").orderBy(F.desc("score"))
     cutoff = lists.select("query_id", F.explode("best").alias("score")).withColumn(
         "at", F.row_number().over(kth)).where(F.col("at") <= k).groupBy("query_id").agg(
@@ -134,11 +166,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0)
         F.struct("query_id", F.when(F.col("n") == k, F.col("cutoff").cast("double")).otherwise(float("-inf")).alias("cutoff"),
                  F.array(*(f"low{s}" for s in range(SEGMENTS))).alias("lows")).alias("s"))
     safe = safe.groupBy("q").agg(F.sort_array(F.collect_list("s")).alias("safe"))  # QUERY_BLOCK rows, about
-    query = written(query.join(safe, "q"), folder, "cutoffs")
+    query = written(query.join(safe.hint("merge"), "q"), folder, "cutoffs")
 
-    def resolve(rows):
-        (qi, q), (ci, c) = unpack(rows, "q"), unpack(rows, "c")
-        found = {s["query_id"]: s for s in rows.column("safe")[0].as_py()}
+    def resolved(qi, q, safe, ci, c):
+        found = {s["query_id"]: s for s in safe}
         cut = np.array([found[x]["cutoff"] for x in qi.tolist()])
         low = np.array([found[x]["lows"] for x in qi.tolist()]).T
         parts = scores(q, c)
@@ -150,19 +181,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0)
             reach |= over
             bound += np.where(over, above, np.maximum(least, 0))
         left = reach & (bound + low.sum(axis=0)[:, None] >= cut[:, None] - 1e-6 * np.abs(cut)[:, None])
+        left &= ci[None, :] != qi[:, None]
         out: tuple = ([], [], [])
-        for i in range(len(qi)):
-            at = np.flatnonzero(left[i] & (ci != qi[i]))
+        for i in np.flatnonzero(left.any(axis=1)).tolist():
+            at = np.flatnonzero(left[i])
             exact = sum(p[i, at] for p in parts)
             order = np.lexsort((ci[at], -exact.astype(float)))[:k] if exact.dtype != object else \
                 sorted(range(len(at)), key=lambda j: (-exact[j], ci[at[j]]))[:k]
             out[0].extend([int(qi[i])] * len(order))
-            out[1].extend(ci[at[order]].tolist() if len(at) else [])
-            out[2].extend(as_long(x) for x in exact[order]) if len(at) else None
-        return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
-
-    kept = query.select("*", meet).join(cand, "c").groupBy("q", "c").applyInArrow(
-        resolve, "query_id long, vec_id long, score long")
+            out[1].extend(ci[at[order]].tolist())
+            out[2].extend(as_long(x) for x in exact[order])
+        return pa.table([pa.array(x, pa.int64()) for x in out], schema=SCORED)
+
+    def resolve(asked, held):
+        out = [SCORED.empty_table()]
+        for i, (qi, q) in enumerate(blocks_of(asked, "q")):
+            safe = asked.column("safe")[i].as_py()
+            out.extend(resolved(qi, q, safe, ci, c) for ci, c in blocks_of(held, "c"))
+        return pa.concat_tables(out)
+
+    kept = meeting(query).applyInArrow(resolve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

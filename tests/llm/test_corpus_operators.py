@@ -186,6 +186,23 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(df.where("vec_id < 0"), df.where("vec_id < 0"), 5).count() == 0
 
 
+def test_top_k_broadcasts_no_vectors_and_meets_by_groups(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    values = rnd.integers(-9, 9, (600, 6))
+    values[40:60] = values[0]
+    df = spark.createDataFrame([(i, (v / 4).tolist()) for i, v in enumerate(values)], "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    for name, value in (("BLOCK", 64), ("QUERY_BLOCK", 4), ("GROUP_BYTES", 64 * 2 * 48)):
+        monkeypatch.setattr(topk, name, value)
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), 5)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for q in range(0, 600, 20):
+        score = 4096 * (values @ values[q])
+        best = sorted((i for i in range(600) if i != q), key=lambda i: (-score[i], i))[:5]
+        want |= {(q, rank + 1, i, int(score[i])) for rank, i in enumerate(best)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def plain_components(data, words, percent):
     sets = {}
     for doc, text in data:
