@@ -43,9 +43,9 @@ HEAD = 1 << 18
 BASE, BITS, PROBES = 1.5, 10, 7
 PRIOR = 100.0
 MAX_BROADCAST = 128 << 20
-#: Occurrences of n-grams for each shard, and bytes scored and hashed at a time.
+#: Occurrences of n-grams for each shard, and bytes of a chunk, scored and hashed at a time.
 SHARD_GRAMS = 1 << 20
-PIECE, SLICE = 1 << 22, 1 << 18
+PIECE, SCORED_PIECE, SLICE = 1 << 22, 1 << 19, 1 << 18
 
 U = np.uint64
 SPACES = np.zeros(256, bool)
@@ -331,8 +331,13 @@ def bloom_shards(docs: DataFrame, shards: int, base: float = BASE) -> DataFrame:
     def gather(batches):
         tokens = Tokens()
         for batch in batches:
-            a, _, row = tokens(batch.column(0))
-            grams, counts = counted(np.concatenate((bigrams(a, row)[0], unigram(a))))
+            found = []
+            for piece in pieces(batch, 0, SCORED_PIECE):
+                a, _, row = tokens(piece.column(0))
+                found.append(counted(np.concatenate((bigrams(a, row)[0], unigram(a)))))
+            if not found:
+                continue
+            grams, counts = counted(*map(np.concatenate, zip(*found)))
             shard = shard_of(grams, shards)
             first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(grams) else np.zeros(0, np.int64)
             ends = np.append(first[1:], len(grams))
@@ -371,21 +376,22 @@ def head_cut(words: DataFrame, head: int) -> int:
 SCORED = "n_tokens long, known long, base double, score double, others array<struct<a:long,b:long,n:long>>"
 
 
-def pieces(batch: pa.RecordBatch, column: int):
-    """Runs of rows with about PIECE bytes of text."""
+def pieces(batch: pa.RecordBatch, column: int, size: int):
+    """Runs of rows with at most ``size`` bytes of text, or one row."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         done = sizes[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(sizes, done + PIECE, "right")))
+        stop = max(at + 1, int(np.searchsorted(sizes, done + size, "right")))
         yield batch.slice(at, stop - at)
         at = stop
 
 
-def score_batch(batch: pa.RecordBatch, model: Model, tokens: Tokens, levels) -> pa.RecordBatch:
-    """row, doc_id, held_out, text to the columns of SCORED."""
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *model.score(batch.column(3), tokens, levels)],
-                                      names=["row", "doc_id", "held_out", *(x.split()[0] for x in SCORED.split(", "))])
+def score_batch(batch: pa.RecordBatch, model: Model, tokens: Tokens, levels):
+    """row, doc_id, held_out, text to the columns of SCORED, piece by piece: scoring takes many times a text's bytes."""
+    for piece in pieces(batch, 3, SCORED_PIECE):
+        yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(3)), *model.score(piece.column(3), tokens, levels)],
+                                         names=["row", "doc_id", "held_out", *(x.split()[0] for x in SCORED.split(", "))])
 
 
 def scored_by_broadcast(docs: DataFrame, model: Model, blocks: DataFrame, kinds: str) -> DataFrame:
@@ -404,8 +410,7 @@ def scored_by_broadcast(docs: DataFrame, model: Model, blocks: DataFrame, kinds:
         (own, sizes), tokens = told.value, Tokens()
         probe = Filter(sizes, shared.value, own.base)
         for batch in batches:
-            for piece in pieces(batch, 3):
-                yield score_batch(piece, own, tokens, probe.levels)
+            yield from score_batch(batch, own, tokens, probe.levels)
     return docs.mapInArrow(run, kinds)
 
 
@@ -415,7 +420,7 @@ def scored_by_shards(docs: DataFrame, model: Model, blocks: DataFrame, kinds: st
 
     def store(batches):
         for batch in batches:
-            for piece in pieces(batch, 3):
+            for piece in pieces(batch, 3, PIECE):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, piece.schema) as out:
                     out.write_batch(piece)
@@ -429,7 +434,8 @@ def scored_by_shards(docs: DataFrame, model: Model, blocks: DataFrame, kinds: st
         tokens = Tokens()
         for batch in batches:
             for chunk, body in zip(batch.column(0), batch.column(1)):
-                grams = told.value.wanted(opened(body).column(3), tokens)
+                parts = [told.value.wanted(piece.column(3), tokens) for piece in pieces(opened(body), 3, SCORED_PIECE)]
+                grams = np.unique(np.concatenate(parts))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard_of(grams, told.value.shards)), pa.array(np.full(len(grams), chunk.as_py(), np.int64)), signed(grams)],
                     names=["shard", "chunk", "gram"])
@@ -454,7 +460,7 @@ def scored_by_shards(docs: DataFrame, model: Model, blocks: DataFrame, kinds: st
                 return np.zeros(len(x), np.int64)
             at = np.minimum(np.searchsorted(grams, x), len(grams) - 1)
             return np.where(grams[at] == x, level[at], 0)
-        return pa.Table.from_batches([score_batch(opened(stored.column("body")[0]), told.value, Tokens(), levels)])
+        return pa.Table.from_batches(score_batch(opened(stored.column("body")[0]), told.value, Tokens(), levels))
 
     chunks = written(docs.mapInArrow(store, "chunk long, body binary"), folder, "chunks")
     asked = chunks.mapInArrow(ask, "shard long, chunk long, gram long")

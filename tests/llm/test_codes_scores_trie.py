@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,30 @@ def test_long_chains_take_few_rounds(spark):
 
 def test_trie_of_nothing(spark):
     assert trie_rows(spark, [(None, 1, "user", "x")]) == plain_trie([])
+
+
+def test_scoring_holds_little_beside_a_batch():
+    """Four megabytes of text are scored a piece at a time, with the same scores as in one go."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(8)
+    words = np.array([f"w{i:x}" for i in range(30000)])
+    texts = [" ".join(words[rnd.integers(0, len(words), 400)]) for _ in range(1700)] + [None, ""]
+    tokens = lm_score.Tokens()
+    a, b, row = tokens(pa.array(texts))
+    seen, first, n = np.unique(a, return_index=True, return_counts=True)
+    head = pa.table({"a": lm_score.signed(seen[:9000]), "b": lm_score.signed(b[first[:9000]]), "n_train": n[:9000]})
+    bits, _ = lm_score.filter_block(*lm_score.counted(np.concatenate((lm_score.bigrams(a, row)[0], lm_score.unigram(a)))))
+    model = lm_score.Model(int(n.sum()), len(seen), len(texts), head, 1, 100.0, 1.5)
+    probe = lm_score.Filter(np.array([len(bits)]), np.frombuffer(bits, np.uint8))
+    ids = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, pa.array(texts)], names=["row", "doc_id", "held_out", "text"])
+    whole = model.score(batch.column(3), tokens, probe.levels)
+    tracemalloc.start()
+    found = []
+    for piece in lm_score.score_batch(batch, model, tokens, probe.levels):
+        found.append(piece.column(6))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pa.chunked_array(found).combine_chunks().equals(whole[3])
+    assert peak < 40 << 20
